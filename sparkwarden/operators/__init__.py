@@ -1,0 +1 @@
+"""Reusable DataFrame operators the detections and hunts are built from."""
