@@ -35,15 +35,20 @@ def text_at(document: Column, path: str) -> Column:
 
 
 def is_object(document: Column, path: str = "$") -> Column:
-    return F.coalesce(type_at(document, path).startswith("OBJECT"), F.lit(False))
+    """Only objects can be read as a struct; unlike a type name, this does not
+    walk the whole value."""
+    return F.try_variant_get(document, path, "struct<_:variant>").isNotNull()
 
 
 def is_array(document: Column, path: str = "$") -> Column:
-    return F.coalesce(type_at(document, path).startswith("ARRAY"), F.lit(False))
+    return F.try_variant_get(document, path, "array<variant>").isNotNull()
 
 
 def is_empty_object(document: Column, path: str) -> Column:
-    return F.coalesce(type_at(document, path) == "OBJECT<>", F.lit(False))
+    return F.coalesce(
+        F.size(F.map_keys(F.try_variant_get(document, path, "map<string,variant>"))) == 0,
+        F.lit(False),
+    )
 
 
 def object_at(document: Column, path: str) -> Column:

@@ -7,8 +7,6 @@ means, so the two paths share nothing but the activity table.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +30,7 @@ from sparkwarden.plans.table_logs import (
     line_documents,
     normalized,
     record_texts,
+    stored,
 )
 from sparkwarden.sources.catalog import DEFAULT_JOBS
 from sparkwarden.sources.records import parse_documents
@@ -389,7 +388,7 @@ def gcp_audit_files(spark, sf_dir):
 
 def _rule(spark: SparkSession, sf_dir: str, rule_id: str, drop: tuple, revision=BASELINE) -> DataFrame:
     rule = RULES.rules(revision)[rule_id]
-    return rule.matches(events_of(spark, sf_dir, rule.source)).drop(*drop)
+    return rule.matches(stored(spark, sf_dir, rule.source)).drop(*drop)
 
 
 _PAIR_HIDDEN = ("start_uid", "end_uid", "started_at", "ended_at")
@@ -458,7 +457,7 @@ LEFT JOIN aws b ON a.account_id = b.account_id AND a.issued_key = b.credential_i
 {_H1_FROM} GROUP BY a.id, a.source_event_id, a.account_id, a.t, a.actor_arn, a.issued_key""")
 def hunt_aws_key_first_use(spark, sf_dir):
     """First ninety minutes of every new access key."""
-    found = aws_key_first_use(events_of(spark, sf_dir, "aws.cloudtrail"), 1.5).leads
+    found = aws_key_first_use(stored(spark, sf_dir, "aws.cloudtrail"), 1.5).leads
     return found.select(
         "creation_event_id", "account_id", _micros("created_at", "created_us"), "creator",
         "issued_key_id", "observation", _micros("first_use", "first_us"),
@@ -471,7 +470,7 @@ def hunt_aws_key_first_use(spark, sf_dir):
        f" {_H1_FROM} WHERE b.id IS NOT NULL")
 def hunt_aws_key_first_use_events(spark, sf_dir):
     """The uses behind the leads, one row each."""
-    found = aws_key_first_use(events_of(spark, sf_dir, "aws.cloudtrail"), 1.5)
+    found = aws_key_first_use(stored(spark, sf_dir, "aws.cloudtrail"), 1.5)
     created = found.leads.select("creation_uid", _micros("created_at", "created_us"))
     return found.lead_events.join(created, "creation_uid").select(
         "created_us", F.expr("event_ns div 1000").alias("used_us"), "source_event_id"
@@ -490,7 +489,7 @@ def hunt_aws_key_first_use_events(spark, sf_dir):
 FROM selected GROUP BY scope_id, actor_id, lone""")
 def hunt_entra_signin_inventory(spark, sf_dir):
     """Sign-ins within two hours of each user's first."""
-    found = entra_signin_inventory(events_of(spark, sf_dir, "azure.entra.signin"), 2).leads
+    found = entra_signin_inventory(stored(spark, sf_dir, "azure.entra.signin"), 2).leads
     return found.select(
         "scope_id", "actor_id", F.col("unresolved_event_uid").isNotNull().alias("alone"),
         _micros("first_observed", "first_us"), _micros("last_observed", "last_us"), "signins",
@@ -501,7 +500,7 @@ def hunt_entra_signin_inventory(spark, sf_dir):
 
 @query(_H2.format(hours="2") + "SELECT scope_id, actor_id, source_event_id, ns AS event_ns FROM selected")
 def hunt_entra_signin_events(spark, sf_dir):
-    found = entra_signin_inventory(events_of(spark, sf_dir, "azure.entra.signin"), 2).lead_events
+    found = entra_signin_inventory(stored(spark, sf_dir, "azure.entra.signin"), 2).lead_events
     return found.select("scope_id", "actor_id", "source_event_id", "event_ns")
 
 
@@ -524,7 +523,7 @@ _H3_FROM = f"""FROM (SELECT * FROM keyed WHERE kind = 'signup'
 GROUP BY a.id, a.source_event_id, a.scope_type, a.scope_id, a.t, a.issued_key, a.outcome""")
 def hunt_gcp_key_use(spark, sf_dir):
     """First ninety minutes of every new service-account key."""
-    found = gcp_key_use(events_of(spark, sf_dir, "gcp.audit"), 1.5).leads
+    found = gcp_key_use(stored(spark, sf_dir, "gcp.audit"), 1.5).leads
     return found.select(
         "creation_event_id", "scope_type", "scope_id", _micros("created_at", "created_us"),
         "key_name", "creation_outcome", "observation", _micros("first_use", "first_us"),
@@ -536,7 +535,7 @@ def hunt_gcp_key_use(spark, sf_dir):
 @query(GCP + f"""SELECT a.ns AS created_ns, b.ns AS used_ns, b.source_event_id AS source_event_id
  {_H3_FROM} WHERE b.id IS NOT NULL""")
 def hunt_gcp_key_use_events(spark, sf_dir):
-    events = events_of(spark, sf_dir, "gcp.audit")
+    events = stored(spark, sf_dir, "gcp.audit")
     found = gcp_key_use(events, 1.5)
     created = events.select(
         F.col("event_uid").alias("creation_uid"), F.col("event_ns").alias("created_ns")
@@ -547,9 +546,7 @@ def hunt_gcp_key_use_events(spark, sf_dir):
 
 
 def all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reduce(
-        DataFrame.unionByName, [events_of(spark, sf_dir, job.source) for job in DEFAULT_JOBS]
-    ).drop("id")
+    return stored(spark, sf_dir, *[job.source for job in DEFAULT_JOBS]).drop("id")
 
 
 def _counted(sql: str, rule_id: str, key: str) -> str:
@@ -609,7 +606,7 @@ FROM spans s JOIN aws e ON e.account_id = s.account_id AND e.t BETWEEN s.t0 AND
 @query(AWS + _TIMELINE)
 def finding_timelines(spark, sf_dir):
     """Context of every finding of one rule at once."""
-    events = events_of(spark, sf_dir, "aws.cloudtrail").drop("id")
+    events = stored(spark, sf_dir, "aws.cloudtrail").drop("id")
     rules = RULES.for_source("aws", "aws.cloudtrail")
     findings = detect(events, rules=rules).findings.where("rule_id = 'aws_new_key_admin_attach'")
     timeline = context_timeline(findings, events)
@@ -672,7 +669,7 @@ FROM events WHERE (event_id - event_id % 4) % 89 <> 0 AND user_id % 22 <> 0
 GROUP BY 1, user_id % 5 HAVING count(DISTINCT event_id) > 1""")
 def conflicting_payloads(spark, sf_dir):
     """Different payloads under one source id within one account."""
-    events = events_of(spark, sf_dir, "aws.cloudtrail").where("account_id IS NOT NULL")
+    events = stored(spark, sf_dir, "aws.cloudtrail").where("account_id IS NOT NULL")
     group = F.expr("id - id % 4")
     shared = events.withColumn(
         "source_event_id", F.when(group % 89 != 0, F.concat(F.lit("ev-"), group))

@@ -157,11 +157,11 @@ def first_use_events(spark, sf_dir):
 
 
 _ANCHORED = """WITH marked AS (SELECT *, CASE WHEN user_id % 10 <> 0 THEN user_id END AS owner,
- CASE WHEN event_id % 50 <> 0 THEN ts END AS at FROM events),
-anchored AS (SELECT *, first_value(at) OVER (PARTITION BY owner,
-  CASE WHEN owner IS NULL THEN event_id END ORDER BY at NULLS LAST, event_id) AS start
+ CASE WHEN event_id % 50 <> 0 THEN ts END AS seen FROM events),
+anchored AS (SELECT *, first_value(seen) OVER (PARTITION BY owner,
+  CASE WHEN owner IS NULL THEN event_id END ORDER BY seen NULLS LAST, event_id) AS start
  FROM marked),
-selected AS (SELECT * FROM anchored WHERE at IS NULL OR at <= start + INTERVAL '48 hours')
+selected AS (SELECT * FROM anchored WHERE seen IS NULL OR seen <= start + INTERVAL '48 hours')
 """
 
 
@@ -178,8 +178,8 @@ def _anchored(spark, sf_dir):
 
 @query(_ANCHORED + """SELECT owner, CASE WHEN owner IS NULL THEN event_id END AS unresolved_id,
  count(*) AS events, count(*) FILTER (WHERE event_type = 'error') AS errors,
- count(DISTINCT props) AS distinct_props, min(epoch_us(at)) AS first_seen,
- max(epoch_us(at)) AS last_seen FROM selected GROUP BY 1, 2""")
+ count(DISTINCT props) AS distinct_props, min(epoch_us(seen)) AS first_seen,
+ max(epoch_us(seen)) AS last_seen FROM selected GROUP BY 1, 2""")
 def anchored_inventory(spark, sf_dir):
     """Events within two days of their user's first; unknown users stand alone."""
     return (
@@ -215,10 +215,10 @@ def json_predicate(spark, sf_dir):
 
 
 @query("""WITH members AS (
- SELECT l_orderkey, l_linenumber, 0 AS at, l_quantity AS q, l_returnflag AS flag FROM lineitem
+ SELECT l_orderkey, l_linenumber, 0 AS place, l_quantity AS q, l_returnflag AS flag FROM lineitem
  UNION ALL SELECT l_orderkey, l_linenumber, 1, 50 - l_quantity, 'R' FROM lineitem
  UNION ALL SELECT l_orderkey, l_linenumber, 2, l_quantity, 'X' FROM lineitem)
-SELECT l_orderkey AS order_id, l_linenumber AS line, CAST(at AS VARCHAR) AS at, q AS quantity
+SELECT l_orderkey AS order_id, l_linenumber AS line, CAST(place AS VARCHAR) AS place, q AS quantity
 FROM members WHERE flag = 'R' AND 45 BETWEEN q AND q + 5""")
 def explode_same_element(spark, sf_dir):
     """All conditions on one member of a JSON array, after unnesting it."""
@@ -237,9 +237,9 @@ def explode_same_element(spark, sf_dir):
     )
     q = F.try_variant_get("member", "$.q", "double")
     return (
-        explode_json(documents, "members", "member", "at")
+        explode_json(documents, "members", "member", "place")
         .where((loose_text(F.col("member"), "$.flag") == "R") & F.lit(45).between(q, q + 5))
-        .select("order_id", "line", "at", q.alias("quantity"))
+        .select("order_id", "line", "place", q.alias("quantity"))
     )
 
 

@@ -13,7 +13,7 @@ from sparkwarden.plans.proofs.registry import query
 # Scenario: one order. Its anchors are lines 1 and 2, its events all line numbers 1-7.
 # Findings: per line a pair (line, line % 2 + 1) of the order; lines above 6 reach into
 # the next order, so they belong to no single scenario.
-_SCENARIOS = """scenarios AS (SELECT o_orderkey AS scenario, 'rule-' || (o_custkey % 3) AS rule_id,
+_SCENARIOS = """WITH scenarios AS (SELECT o_orderkey AS scenario, 'rule-' || (o_custkey % 3) AS rule_id,
  CASE o_orderkey % 2 WHEN 0 THEN 'development' ELSE 'holdout' END AS split,
  CASE o_orderstatus WHEN 'F' THEN 'malicious' WHEN 'O' THEN 'benign' ELSE 'ambiguous' END AS label,
  o_custkey % 4 <> 0 AS complete FROM orders WHERE o_orderkey % 10 <> 9),

@@ -9,9 +9,13 @@ elements. ``id`` is the row, ``u`` the user, ``k`` a number 0..99, ``v`` a value
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkwarden.schema import EVENT_COLUMNS
 from sparkwarden.sources.catalog import DEFAULT_JOBS
 
 EPOCH_US = 1_704_067_200_000_000  # 2024-01-01T00:00:00Z
@@ -20,7 +24,12 @@ SQUEEZE = 48  # thirty days of activity become fifteen hours
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Activity rows with a squeezed clock (``t`` in microseconds)."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if len(rows.inputFiles()) < cores:
+        # A single small file is one task; JSON work is heavy, so use all cores.
+        rows = rows.repartition(cores)
+    return rows.selectExpr(
         "event_id AS id",
         "user_id AS u",
         "event_type AS kind",
@@ -228,6 +237,31 @@ def normalized(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     return job.normalize(texts.withColumn("record", F.parse_json("text")).drop("text"))
 
 
+_WRITTEN: set[tuple[str, str]] = set()
+
+
+def stored(spark: SparkSession, sf_dir: str, *sources: str) -> DataFrame:
+    """Accepted event rows of the given sources, read from an event table.
+
+    As in production, records are normalised once into Parquet partitioned by
+    source; rules and hunts then scan only the columns and partitions they need.
+    The table lives in the session's shared folder, once per application."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.gettempdir()
+    name = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
+    root = f"{folder.rstrip('/')}/sparkwarden/{spark.sparkContext.applicationId}/{name}"
+    for source in sources:
+        if (root, source) not in _WRITTEN:
+            rows = normalized(spark, sf_dir, source).where(F.size("problems") == 0)
+            rows.drop("problems").write.mode("append").partitionBy("provider", "source").parquet(root)
+            _WRITTEN.add((root, source))
+    kinds = ", ".join(f"{c} {kind}" for c, kind in {"id": "bigint", **EVENT_COLUMNS}.items())
+    return spark.read.schema(kinds).parquet(root).where(F.col("source").isin(*sources))
+
+
 def documents(spark: SparkSession, sf_dir: str, source: str, per_file: int = 64) -> DataFrame:
     """Records packed into files of ``per_file`` rows (file_no, format, content)."""
     packed = (

@@ -13,10 +13,10 @@ from sparkwarden.functions.identity import IDENTITY_TAG, scoped_uid
 from sparkwarden.functions.instants import instant
 from sparkwarden.functions.json_access import (
     integer_at,
+    is_empty_object,
     is_object,
     loose_text,
     text_at,
-    type_at,
     value_at,
     variant_object,
 )
@@ -134,7 +134,7 @@ def normalize_entra_signin(records: DataFrame, tag: str = IDENTITY_TAG) -> DataF
 def normalize_entra_audit(records: DataFrame, tag: str = IDENTITY_TAG) -> DataFrame:
     keep = [c for c in records.columns if c != "record"]
     r = F.col("record")
-    filled = lambda path: is_object(r, path) & (type_at(r, path) != "OBJECT<>")
+    filled = lambda path: is_object(r, path) & ~is_empty_object(r, path)
     staged = _graph_stage(
         records, "$.activityDateTime", text_at(r, "$.initiatedBy.user.ipAddress")
     ).withColumns(

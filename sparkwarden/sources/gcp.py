@@ -15,7 +15,6 @@ from sparkwarden.functions.json_access import (
     loose_text,
     object_at,
     text_at,
-    type_at,
     value_at,
     variant_object,
 )
@@ -64,7 +63,7 @@ def normalize_gcp_audit(records: DataFrame, tag: str = IDENTITY_TAG) -> DataFram
                 "code_": F.when(status_given, integer_at(r, "$.protoPayload.status.code")),
                 "empty_status_": is_empty_object(r, "$.protoPayload.status"),
                 "pending_": is_object(r, "$.operation")
-                & (type_at(r, "$.operation") != "OBJECT<>")
+                & ~is_empty_object(r, "$.operation")
                 & ~F.coalesce(boolean_at(r, "$.operation.last"), F.lit(False)),
             },
         )

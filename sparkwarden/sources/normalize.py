@@ -43,10 +43,14 @@ def with_declared_scope(records: DataFrame, scope: Scope | None) -> DataFrame:
 
 
 def prepared(records: DataFrame, stage: dict[str, Column]) -> DataFrame:
-    """Records with the declared scope present and staged helper columns added."""
+    """Records with the declared scope present and staged helper columns added.
+
+    The staged values come out of a one-row generator. Spark does not push a
+    later filter on them below it, so no filter repeats the JSON extraction."""
     if "declared_scope_type" not in records.columns:
         records = with_declared_scope(records, None)
-    return records.withColumns(stage)
+    staged = F.struct(*[column.alias(name) for name, column in stage.items()])
+    return records.select("*", F.inline(F.array(staged)))
 
 
 def reasons(*pairs: tuple[str, Column]) -> Column:
