@@ -52,10 +52,13 @@ def score(
         F.explode(F.array_union("anchors", "available")).alias("event_id"),
     )
     assigned = (
-        findings.select("rule_id", "finding_id", F.explode("event_ids").alias("event_id"))
+        findings.select(
+            "rule_id", "finding_id", "event_ids", F.explode("event_ids").alias("event_id")
+        )
         .join(owners, ["rule_id", "event_id"], "left")
         .groupBy("rule_id", "finding_id")
         .agg(
+            F.first("event_ids").alias("event_ids"),
             F.min("scenario_id").alias("scenario_id"),
             (F.min("scenario_id") != F.max("scenario_id")).alias("several"),
             F.count_if(F.col("scenario_id").isNull()).alias("unowned"),
@@ -72,8 +75,7 @@ def score(
     truth = scenarios.where(chosen)
     alerts = (
         assigned.where(single)
-        .select("rule_id", "finding_id", "scenario_id")
-        .join(findings.select("rule_id", "finding_id", "event_ids"), ["rule_id", "finding_id"])
+        .select("rule_id", "finding_id", "scenario_id", "event_ids")
         .join(truth.select("rule_id", "scenario_id", "anchors"), ["rule_id", "scenario_id"])
         .select(
             "rule_id",
@@ -99,12 +101,16 @@ def score(
         .alias("result"),
         (exact > 0).alias("correct_evidence_match"),
     )
-    return Score(_metrics(results, unexpected, rule_ids, findings), results, alerts, unexpected)
+    listed = (
+        rule_ids.select("rule_id")
+        .union(scenarios.select("rule_id"))
+        .union(findings.select("rule_id"))
+        .distinct()
+    )
+    return Score(_metrics(results, unexpected, listed), results, alerts, unexpected)
 
 
-def _metrics(
-    results: DataFrame, unexpected: DataFrame, rule_ids: DataFrame, findings: DataFrame
-) -> DataFrame:
+def _metrics(results: DataFrame, unexpected: DataFrame, listed: DataFrame) -> DataFrame:
     result, label = F.col("result"), F.col("label")
     wrong = F.col("alerts") - F.col("exact_alerts")
     malicious, complete = label == "malicious", F.col("telemetry_complete")
@@ -127,12 +133,6 @@ def _metrics(
         ).alias("duplicate_findings"),
     )
     stray = unexpected.groupBy("rule_id").agg(F.count("*").alias("unexpected"))
-    listed = (
-        rule_ids.select("rule_id")
-        .union(results.select("rule_id"))
-        .union(findings.select("rule_id"))
-        .distinct()
-    )
     joined = listed.join(per_rule, "rule_id", "left").join(stray, "rule_id", "left")
     zero = lambda name: F.coalesce(name, F.lit(0))
     counts = joined.select(

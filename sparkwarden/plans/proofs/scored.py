@@ -141,14 +141,10 @@ def score_input_checks(spark, sf_dir):
         .otherwise(F.array(own))
         .alias("available"),
     )
-    findings = scenarios.select(F.col("scenario_id").alias("finding_id"), F.array(own_ids()).alias("event_ids"))
+    findings = scenarios.select(F.col("scenario_id").alias("finding_id"), F.array("scenario_id").alias("event_ids"))
     return score_violations(findings, scenarios)
 
 
-def own_ids():
-    return F.col("scenario_id")
-
-
 @query("""WITH alerts AS (SELECT doc_id FROM documents WHERE n_chars > 2000)
 SELECT lang AS rule_id, count(*) FILTER (WHERE toxic = 1 AND a.doc_id IS NOT NULL) AS tp,
  count(*) FILTER (WHERE toxic = 0 AND a.doc_id IS NOT NULL) AS fp,
