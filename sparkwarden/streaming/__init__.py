@@ -1,0 +1,2 @@
+"""Nothing here: the analysis is batch by definition. Late, repeated or shuffled
+deliveries are handled by the idempotent import (``sources.ingest``)."""
