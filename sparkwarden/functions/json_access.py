@@ -28,10 +28,8 @@ def loose_text(document: Column, path: str) -> Column:
 
 def text_at(document: Column, path: str) -> Column:
     """The value when it is a non-empty JSON string, else NULL."""
-    return F.when(
-        type_at(document, path) == "STRING",
-        F.nullif(F.try_variant_get(document, path, "string"), F.lit("")),
-    )
+    text = F.when(type_at(document, path) == "STRING", loose_text(document, path))
+    return F.nullif(text, F.lit(""))  # outermost, so that the text is read once
 
 
 def is_object(document: Column, path: str = "$") -> Column:
