@@ -17,9 +17,9 @@ def connection():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(contract.QUERIES))
 def test_query_equals_sql(spark, connection, name):
-    assert compare(contract.queries()[name](spark, SF_DIR), connection, contract.oracle_sql()[name]) is None
+    assert compare(contract.QUERIES[name](spark, SF_DIR), connection, contract.ORACLES[name]) is None
 
 
 def test_entry(spark):
