@@ -5,8 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkwarden.llm.packing import packed_documents
+from sparkwarden.llm.token_counts import count_tokens
 from sparkwarden.llm.token_files import written_and_read
 from sparkwarden.session import configure
+from sparkwarden.shared import new_folder
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +31,15 @@ def query(function):
 def op7_plane_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return written_and_read(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+@query
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packed_documents(docs, public_tokenizers.path("word_bpe_49k.json")).drop("row", "fill")
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, store = table(spark, sf_dir, "documents"), new_folder(spark, "token-counts")
+    return count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), store, limit=4096)
