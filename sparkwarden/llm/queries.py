@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkwarden.llm.decontamination import contamination
 from sparkwarden.llm.packing import packed_documents
 from sparkwarden.llm.token_counts import count_tokens
 from sparkwarden.llm.token_files import written_and_read
@@ -43,3 +44,8 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, store = table(spark, sf_dir, "documents"), new_folder(spark, "token-counts")
     return count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), store, limit=4096)
+
+
+@query
+def op10_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
