@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkwarden.llm.decontamination import contamination
 from sparkwarden.llm.packing import packed_documents
+from sparkwarden.llm.simhash import near_duplicates
 from sparkwarden.llm.token_counts import count_tokens
 from sparkwarden.llm.token_files import written_and_read
 from sparkwarden.session import configure
@@ -49,3 +50,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
