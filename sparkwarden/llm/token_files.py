@@ -11,7 +11,7 @@ JSON: the plane kind, block size, per block (offset, ids, size of every plane),
 per document (doc_id, ids). Any document can be read by its position alone.
 
 Given results: null text is an empty text (one end id). Documents are ordered by
-doc_id (null first), equal ids by text; every row, repeated or not, is written.
+doc_id (null first), equal ids by a hash of the text; every row, repeated or not, is written.
 An empty table gives no file. Columns other than doc_id and text are ignored.
 """
 
@@ -159,8 +159,8 @@ def write_token_files(
 ) -> DataFrame:
     """Encode ``docs`` (doc_id, text) in doc_id order into files under ``folder``.
 
-    Range partitioning on (doc_id, text) gives every task a slice of the order, so a
-    hot id is split too. Returns the manifest, one row per file, already stored."""
+    Range partitioning on doc_id and a hash of the text gives every task a slice of the
+    order, so a hot id is split too, and its sample holds no texts. Returns the manifest, one row per file, already stored."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,8 +183,10 @@ def write_token_files(
 
     ordered = (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .repartitionByRange("doc_id", "text")
-        .sortWithinPartitions("doc_id", "text")
+        .withColumn("tie", F.xxhash64("text"))
+        .repartitionByRange("doc_id", "tie")
+        .sortWithinPartitions("doc_id", "tie")
+        .drop("tie")
     )
     return kept(ordered.mapInArrow(write, MANIFEST), "token-manifest")
 
