@@ -27,7 +27,7 @@ def fresh_name(folder: str, suffix: str) -> str:
 def writing(uri: str):
     system, path = _open(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
-    with system.open_output_stream(path) as stream:
+    with system.open_output_stream(path, compression=None) as stream:
         yield stream
 
 

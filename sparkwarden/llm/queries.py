@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkwarden.llm.decontamination import contamination
+from sparkwarden.llm.exact_topk import top_k
 from sparkwarden.llm.packing import packed_documents
 from sparkwarden.llm.simhash import near_duplicates
 from sparkwarden.llm.token_counts import count_tokens
 from sparkwarden.llm.token_files import written_and_read
+from sparkwarden.llm.warc import archived
 from sparkwarden.session import configure
 from sparkwarden.shared import new_folder
 
@@ -55,3 +57,14 @@ def op10_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @query
 def op9_bit_sliced_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return top_k(rows, rows.where("vec_id % 50 = 0"), k=5)
