@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkwarden.llm.decontamination import contamination
 from sparkwarden.llm.exact_topk import top_k
 from sparkwarden.llm.packing import packed_documents
+from sparkwarden.llm.secrets import secret_spans
 from sparkwarden.llm.simhash import near_duplicates
 from sparkwarden.llm.token_counts import count_tokens
 from sparkwarden.llm.token_files import written_and_read
@@ -68,3 +69,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return top_k(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
+@query
+def op2_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
