@@ -119,13 +119,17 @@ def base_spans(text: Column) -> Column:
 def _upper_tail(z: Column) -> Column:
     """P(N > z) of the standard normal, within 1e-7 for z >= 0 (Abramowitz and Stegun
     26.2.17) and by symmetry below."""
-    a = F.abs(z)
-    t = 1 / (1 + F.lit(0.2316419) * a)
     # Fixed values of that formula.
     b = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
-    series = t * (b[0] + t * (b[1] + t * (b[2] + t * (b[3] + t * b[4]))))
-    tail = F.exp(-a * a / 2) * F.lit(0.3989422804014327) * series
-    return F.when(z >= 0, tail).otherwise(1 - tail)
+
+    def tail(z: Column) -> Column:
+        def area(t: Column) -> Column:
+            series = t * (b[0] + t * (b[1] + t * (b[2] + t * (b[3] + t * b[4]))))
+            return F.exp(-z * z / 2) * F.lit(0.3989422804014327) * series
+
+        return _let(_let(1 / (1 + F.lit(0.2316419) * F.abs(z)), area), lambda p: F.when(z >= 0, p).otherwise(1 - p))
+
+    return _let(z, tail)
 
 
 def _battery(token: Column, alphabet: str) -> Column:
@@ -160,8 +164,7 @@ def _battery(token: Column, alphabet: str) -> Column:
         chi = squares * size / n - n
         # Wilson and Hilferty's cube root
         z_chi = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5
-        low = n - s["high"]
-        product = 2 * s["high"] * low
+        product = 2 * s["high"] * (n - s["high"])
         mean = product / n + 1
         spread = product * (product - n) / (n * n * (n - 1))
         z_runs = F.when(spread > 0, F.abs(s["runs"] - mean) / F.sqrt(spread)).otherwise(40.0)
@@ -195,9 +198,15 @@ def _tested(text: Column, base: Column) -> Column:
         band = F.lit(0)
         for lower in BANDS:
             band = band + (size >= lower).cast("int")
-        p = fitting(s["value"])
-        tenths = F.when(p > 0, F.least(F.floor(-10 * F.log10(p)), F.lit(BINS - 1))).otherwise(F.when(p == 0, BINS - 1))
-        return F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end"), band.alias("band"), tenths.cast("int").alias("bin"))
+
+        def tenths(p: Column) -> Column:
+            return F.when(p > 0, F.least(F.floor(-10 * F.log10(p)), F.lit(BINS - 1))).when(p == 0, F.lit(BINS - 1))
+
+        place = _let(fitting(s["value"]), tenths).cast("int")
+        return F.struct(
+            s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end"),
+            band.alias("band"), place.alias("bin"),
+        )
 
     def free(s: Column) -> Column:
         return ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
@@ -226,8 +235,9 @@ def _not_random_from(tested: DataFrame) -> dict[int, int]:
 def _scanned(docs: DataFrame, names: list[str]) -> DataFrame:
     """The ``names`` columns with ``base`` and ``tested`` spans, stored."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = docs.withColumn("base", base_spans(text)).withColumn("tested", _tested(text, F.col("base")))
-    return kept(found.select(*names, "base", "tested"), "secret-scan")
+    both = _let(base_spans(text), lambda base: F.struct(base.alias("base"), _tested(text, base).alias("tested")))
+    found = docs.withColumn("found", both)
+    return kept(found.select(*names, "found.base", "found.tested"), "secret-scan")
 
 
 def _all_spans(scanned: DataFrame) -> Column:
