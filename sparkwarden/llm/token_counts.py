@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.llm.batches import bounded
 from sparkwarden.llm.tokens import encoder
+from sparkwarden.shared import kept
 
 STORED = "digest binary, n_tokens long, tokenizer string"
 
@@ -74,7 +75,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, store: str, limit: int) -> Dat
     new = misses.select("digest", "text").mapInArrow(encode, "digest binary, n_tokens long")
     new.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(store)
     # An interrupted earlier append may have stored a digest twice, with the same count.
+    # Stored as a table, the other side of the join can be split where a digest is hot.
     known = stored_counts(spark, store, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    known = kept(known, "known-counts")
     sizes = texts.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return sizes.join(known, "digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
