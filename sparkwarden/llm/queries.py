@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkwarden.llm.decontamination import contamination
 from sparkwarden.llm.exact_topk import top_k
 from sparkwarden.llm.packing import packed_documents
+from sparkwarden.llm.quality_lm import judged
 from sparkwarden.llm.secrets import secret_spans
 from sparkwarden.llm.simhash import near_duplicates
 from sparkwarden.llm.token_counts import count_tokens
@@ -74,3 +75,8 @@ def op6_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("digest")
