@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkwarden.llm.decontamination import contamination
 from sparkwarden.llm.exact_topk import top_k
+from sparkwarden.llm.licenses import licenses, licenses_sql
 from sparkwarden.llm.packing import packed_documents
 from sparkwarden.llm.quality_lm import judged
 from sparkwarden.llm.secrets import secret_spans
@@ -80,3 +81,11 @@ def op2_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("digest")
+
+
+@query
+def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op4_license_rules"] = licenses_sql()
