@@ -8,7 +8,8 @@ the n-grams are joined on (language, shard of the middle character), each side s
 once; a shard holds all a trigram needs to be scored. Blocks of a shard are salted so
 that a group stays near ``GROUP_BYTES``; the model part is repeated per salt.
 
-A document is kept when its perplexity is at most the ``QUANTILE`` of the trusted
+One trusted document in ``HELD_OUT``, by the hash of its id, stays out of the counts. A
+document is kept when its perplexity is at most the ``QUANTILE`` of these held-out
 documents of its language and length band; bands with fewer than ``LEAST_TRUSTED``
 take the language's, languages the corpus's. Quantiles are ``approx_percentile`` with
 ``ACCURACY``, exact for small strata.
@@ -37,11 +38,13 @@ from sparkwarden.llm.ngrams import BITS, LOW, PAIR, SHARDS, block_parts, shard_o
 from sparkwarden.shared import kept
 
 QUANTILE = 0.995
+HELD_OUT = 5
 LEAST_TRUSTED = 50
 ACCURACY = 20_000
 BANDS = (32, 128, 512)  # lower ends, in trigrams, of all length bands but the first
 GROUP_BYTES = 2 << 20
 BLOCK_DOCS = 1_000
+SALTS = 64
 
 PROFILE = (
     "block long, lang string, shard int, payload binary, doc_ids array<long>, "
@@ -83,13 +86,22 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     known = labels.where("quality = 1 AND doc_id IS NOT NULL")
-    return known.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    ids = known.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    return ids.withColumn("held_out", F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0)
+
+
+def _per_language(rows: DataFrame, small: DataFrame, spread: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with a table of one row per language; a language may hold most
+    of the rows, so its rows are spread over ``SALTS`` keys."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    many = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(many, ["lang", "salt"], how).drop("salt")
 
 
 def trigram_counts(blocks: DataFrame, labels: DataFrame) -> DataFrame:
-    """(lang, key, n) over all trusted documents."""
+    """(lang, key, n) over all trusted documents but the held-out ones."""
     members = blocks.where("doc_ids IS NOT NULL").select("block", F.posexplode("doc_ids").alias("place", "doc_id"))
-    chosen = members.join(trusted_ids(labels), "doc_id").groupBy("block")
+    chosen = members.join(trusted_ids(labels).where("NOT held_out"), "doc_id").groupBy("block")
     chosen = chosen.agg(F.collect_list("place").alias("places"))  # at most BLOCK_DOCS
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,16 +148,18 @@ def model(counts: DataFrame) -> DataFrame:
     lower order, 0 the log probability of an unseen character. ``counts`` is stored."""
     u, v, w = "(key >> 42)", "((key >> 21) & 2097151)", "(key & 2097151)"
     tri = counts.selectExpr("lang", f"{u} AS u", f"{v} AS v", f"{w} AS w", "n")
-    tri = tri.join(_discounts(tri, "n"), "lang").withColumn("spent", _spent("n"))
+    tri = _per_language(tri, _discounts(tri, "n"), ["u", "v", "w"]).withColumn("spent", _spent("n"))
     bi = tri.groupBy("lang", "v", "w").agg(F.count(F.lit(1)).alias("n"))
-    bi = kept(bi.join(_discounts(bi, "n"), "lang").withColumn("spent", _spent("n")), "bigrams")
+    bi = _per_language(bi, _discounts(bi, "n"), ["v", "w"]).withColumn("spent", _spent("n"))
+    bi = kept(bi, "bigrams")
     uni = bi.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
-    uni = kept(uni.join(_discounts(uni, "n"), "lang").withColumn("spent", _spent("n")), "characters")
+    uni = _per_language(uni, _discounts(uni, "n"), ["w"]).withColumn("spent", _spent("n"))
+    uni = kept(uni, "characters")
     base = uni.groupBy("lang").agg(
         F.sum("n").alias("total"), F.sum("spent").alias("left"), (F.count(F.lit(1)) + 1).alias("size")
     )
     floor = base.withColumn("floor", F.col("left") / F.col("size") / F.col("total"))
-    p1 = uni.join(floor, "lang").selectExpr("lang", "w", "(n - spent) / total + floor AS p1")
+    p1 = _per_language(uni, floor, ["w"]).selectExpr("lang", "w", "(n - spent) / total + floor AS p1")
     pairs = bi.groupBy("lang", "v").agg(F.sum("n").alias("total"), F.sum("spent").alias("left"))
     p2 = bi.join(p1, ["lang", "w"]).join(pairs, ["lang", "v"])
     p2 = kept(p2.selectExpr("lang", "v", "w", "(n - spent + left * p1) / total AS p2"), "bigram-model")
@@ -233,7 +247,8 @@ def scores(blocks: DataFrame, parts: DataFrame) -> DataFrame:
     )
     zero = F.transform("sizes", lambda _: F.lit(0.0))
     add = lambda a, p: F.zip_with(a, p["sums"], lambda x, y: x + F.coalesce(y, F.lit(0.0)))
-    logs = F.when(F.size("parts") > 0, F.aggregate("parts", zero, add))
+    unknown = F.transform("sizes", lambda _: F.lit(None).cast("double"))  # no model of the language
+    logs = F.when(F.size("parts") > 0, F.aggregate("parts", zero, add)).otherwise(unknown)
     one = gathered.select("lang", F.explode(F.arrays_zip("doc_ids", "digests", "sizes", logs.alias("logs"))).alias("d"))
     return one.select(
         F.col("d.doc_ids").alias("doc_id"),
@@ -256,19 +271,24 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     blocks = kept(profiles(rows), "profiles")
     counts = kept(trigram_counts(blocks, labels), "trigrams")
     scored = kept(scores(blocks, kept(model(counts), "language-model")), "scores")
+    bands = range(len(BANDS) + 1)
     band = sum(((F.col("n_ngrams") >= lower).cast("int") for lower in BANDS), F.lit(0))
     scored = scored.withColumn("band", band)
-    trusted = scored.where("perplexity IS NOT NULL").join(trusted_ids(labels), "doc_id", "left_semi")
+    trusted = scored.where("perplexity IS NOT NULL").join(trusted_ids(labels).where("held_out"), "doc_id", "left_semi")
     quantile = F.percentile_approx("perplexity", QUANTILE, ACCURACY)
     limits = trusted.rollup("lang", "band").agg(
         F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), quantile.alias("limit")
     )
     limits = kept(limits.where((F.col("n") >= LEAST_TRUSTED) | (F.col("level") == 3)), "limits")
-    own = limits.where("level = 0").select("lang", "band", F.col("limit").alias("own"))
-    wide = limits.where("level = 1").select("lang", F.col("limit").alias("wide"))
+    # One row per language: its own limit and, by band, those of its bands.
+    strata = limits.where("level < 3 AND lang IS NOT NULL").groupBy("lang").agg(
+        F.max(F.when(F.col("level") == 1, F.col("limit"))).alias("wide"),
+        *(F.max(F.when((F.col("level") == 0) & (F.col("band") == b), F.col("limit"))).alias(f"own{b}") for b in bands),
+    )
     everywhere = limits.where("level = 3").agg(F.max("limit")).first()[0]
-    threshold = F.coalesce("own", "wide", F.lit(everywhere).cast("double"))
-    out = scored.join(own, ["lang", "band"], "left").join(wide, "lang", "left")
+    own = F.coalesce(*(F.when(F.col("band") == b, F.col(f"own{b}")) for b in bands))
+    threshold = F.coalesce(own, "wide", F.lit(everywhere).cast("double"))
+    out = _per_language(scored, strata, ["digest"], "left")
     out = out.withColumn("threshold", F.when(F.col("perplexity").isNotNull(), threshold))
     keep = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return out.select("doc_id", "digest", "lang", "n_ngrams", "perplexity", "threshold", keep.alias("keep"))
