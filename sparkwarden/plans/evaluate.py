@@ -19,7 +19,7 @@ from sparkwarden.plans.detect import Detection, checked, detect
 from sparkwarden.plans.detections import BASELINE, RULES
 from sparkwarden.plans.rules import RuleBook
 from sparkwarden.sources.audit import evidence_audit
-from sparkwarden.sources.catalog import DEFAULT_SOURCES, SourceRegistry
+from sparkwarden.sources.catalog import SOURCES, Sources
 from sparkwarden.sources.ingest import ingest
 from sparkwarden.sources.manifest import read_manifests
 from sparkwarden.sources.store import Store
@@ -82,7 +82,7 @@ def evaluate(
     revision: str = BASELINE,
     split: str = "all",
     rules: RuleBook = RULES,
-    sources: SourceRegistry = DEFAULT_SOURCES,
+    sources: Sources = SOURCES,
     tag: str = IDENTITY_TAG,
     rule_names: dict[str, str] | None = None,
 ) -> Report:

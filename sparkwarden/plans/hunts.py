@@ -259,36 +259,33 @@ def hunt(events: DataFrame, hours: float = 24, hunt_id: str | None = None) -> Le
     return chosen.run(events.where(own), hours)
 
 
-def inline_events(found: Leads, hunt_id: str, limit: int = 10_000) -> DataFrame:
-    """Leads with their event uids as one ordered list (NULL times last) where there
-    are at most ``limit``; a larger lead keeps NULL and its rows in ``lead_events``."""
+def inline_events(found: Leads, hunt_id: str) -> DataFrame:
+    """Leads with all their event uids as one ordered list (NULL times last), and the
+    distinct source ids in order, NULL (at most one) last. The row grows with the
+    lead; ``lead_events`` holds the same as rows of bounded size."""
     spec = HUNTS[hunt_id]
-    keys = [F.col(k) for k in spec.lead_key]
-    sizes = found.lead_events.groupBy(*keys).agg(F.count("*").alias("n"))
-    events, small = found.lead_events.alias("e"), sizes.where(F.col("n") <= limit).alias("s")
+    events, leads = found.lead_events, found.leads.alias("a")
     entry = F.struct(
         *[
             part.alias(f"o{i}_{j}")
             for i, c in enumerate(spec.list_order)
-            for j, part in enumerate((F.col(f"e.{c}").isNull(), F.col(f"e.{c}")))
+            for j, part in enumerate((F.col(c).isNull(), F.col(c)))
         ],
-        F.col("e.event_uid").alias("uid"),
+        F.col("event_uid").alias("uid"),
     )
-    condition = F.lit(True)
-    for k in spec.lead_key:
-        condition = condition & F.col(f"e.{k}").eqNullSafe(F.col(f"s.{k}"))
-    lists = (
-        events.join(small, condition, "left_semi")
-        .groupBy(*[F.col(f"e.{k}").alias(k) for k in spec.lead_key])
-        .agg(F.transform(F.array_sort(F.collect_set(entry)), lambda x: x["uid"]).alias("event_uids"))
-        .alias("l")
-    )
-    leads = found.leads.alias("a")
+    lists = [F.transform(F.array_sort(F.collect_set(entry)), lambda x: x["uid"]).alias("event_uids")]
+    if "source_event_id" in events.columns:
+        # A struct, as collect_set leaves out a bare NULL.
+        named = F.struct(F.col("source_event_id").isNull().alias("none"), F.col("source_event_id").alias("id"))
+        ids = F.transform(F.array_sort(F.collect_set(named)), lambda x: x["id"])
+        lists.append(ids.alias("source_event_ids"))
+    gathered = events.groupBy(*spec.lead_key).agg(*lists).alias("l")
     match = F.lit(True)
     for k in spec.lead_key:
         match = match & F.col(f"a.{k}").eqNullSafe(F.col(f"l.{k}"))
     total = "signins" if hunt_id == "entra_signin_inventory" else "event_count"
     empty = F.when(F.col(f"a.{total}") == 0, F.array().cast("array<string>"))
-    return leads.join(lists, match, "left").select(
-        "a.*", F.coalesce("l.event_uids", empty).alias("event_uids")
+    names = [c for c in gathered.columns if c not in spec.lead_key]
+    return leads.join(gathered, match, "left").select(
+        "a.*", *(F.coalesce(f"l.{name}", empty).alias(name) for name in names)
     )

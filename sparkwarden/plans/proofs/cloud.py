@@ -32,7 +32,7 @@ from sparkwarden.plans.table_logs import (
     record_texts,
     stored,
 )
-from sparkwarden.sources.catalog import DEFAULT_JOBS
+from sparkwarden.sources.catalog import SOURCES
 from sparkwarden.sources.records import parse_documents
 
 # ------------------------------------------------------------------ SQL side
@@ -546,7 +546,7 @@ def hunt_gcp_key_use_events(spark, sf_dir):
 
 
 def all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, *[job.source for job in DEFAULT_JOBS]).drop("id")
+    return stored(spark, sf_dir, *[job.source for job in SOURCES]).drop("id")
 
 
 def _counted(sql: str, rule_id: str, key: str) -> str:
@@ -656,7 +656,7 @@ def refused_records(spark, sf_dir):
           WHEN 1 THEN '{"eventSource":"","eventName":7}'
           WHEN 2 THEN '[1]' ELSE replace(text, '"eventName"', '"name"') END"""),
     ).withColumn("record", F.parse_json("text")).drop("text")
-    job = DEFAULT_JOBS[0]
+    job = SOURCES[0]
     # A record that is no object lacks everything else too; report that alone.
     reasons = F.when(
         F.array_contains("problems", "record_not_object"), F.array(F.lit("record_not_object"))
@@ -684,4 +684,4 @@ def conflicting_payloads(spark, sf_dir):
     )
 
 
-assert set(RECORDS) == {job.source for job in DEFAULT_JOBS}
+assert set(RECORDS) == {job.source for job in SOURCES}

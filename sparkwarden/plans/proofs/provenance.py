@@ -8,7 +8,7 @@ from sparkwarden.operators.findings import evidence_violations, resolve_source_i
 from sparkwarden.plans.proofs.generic import table
 from sparkwarden.plans.proofs.registry import query
 from sparkwarden.plans.table_logs import documents
-from sparkwarden.sources.ingest import hash_violations
+from sparkwarden.sources.ingest import file_violations
 from sparkwarden.sources.manifest import manifest_violations, manifests_from_text
 from sparkwarden.sources.records import resolve
 
@@ -48,7 +48,8 @@ def file_hash_checks(spark, sf_dir):
         ),
         F.sha2("text", 256).alias("artifact_sha256"),
     )
-    return hash_violations(scanned).select("source_path", "artifact_sha256")
+    broken = file_violations(scanned.drop("artifact_sha256"), scanned.drop("declared_sha256"))
+    return broken.select("source_path", "artifact_sha256")
 
 
 @query("""WITH placed AS (SELECT event_id, event_id // 64 AS file_no,

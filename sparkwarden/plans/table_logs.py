@@ -10,13 +10,13 @@ elements. ``id`` is the row, ``u`` the user, ``k`` a number 0..99, ``v`` a value
 from __future__ import annotations
 
 import hashlib
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwarden.schema import EVENT_COLUMNS
-from sparkwarden.sources.catalog import DEFAULT_JOBS
+from sparkwarden.shared import shared_root
+from sparkwarden.sources.catalog import SOURCES
 
 EPOCH_US = 1_704_067_200_000_000  # 2024-01-01T00:00:00Z
 SQUEEZE = 48  # thirty days of activity become fifteen hours
@@ -232,7 +232,7 @@ def record_texts(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
 
 def normalized(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     """The derived log of one source as event rows (with ``id``)."""
-    job = next(j for j in DEFAULT_JOBS if j.source == source)
+    job = next(j for j in SOURCES if j.source == source)
     texts = record_texts(spark, sf_dir, source)
     return job.normalize(texts.withColumn("record", F.parse_json("text")).drop("text"))
 
@@ -246,13 +246,8 @@ def stored(spark: SparkSession, sf_dir: str, *sources: str) -> DataFrame:
     As in production, records are normalised once into Parquet partitioned by
     source; rules and hunts then scan only the columns and partitions they need.
     The table lives in the session's shared folder, once per application."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.gettempdir()
     name = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
-    root = f"{folder.rstrip('/')}/sparkwarden/{spark.sparkContext.applicationId}/{name}"
+    root = f"{shared_root(spark)}/sparkwarden/{spark.sparkContext.applicationId}/{name}"
     for source in sources:
         if (root, source) not in _WRITTEN:
             rows = normalized(spark, sf_dir, source).where(F.size("problems") == 0)

@@ -30,8 +30,3 @@ def build_session(app: str = "sparkwarden", master: str | None = None, **conf: s
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 
-
-def shared_folder(spark: SparkSession, fallback: str) -> str:
-    """The folder every executor can reach: the cluster's checkpoint directory,
-    or ``fallback`` (itself on shared storage) where none is configured."""
-    return spark.conf.get("spark.checkpoint.dir", None) or fallback

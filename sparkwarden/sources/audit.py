@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sparkwarden.functions.identity import IDENTITY_TAG
 from sparkwarden.functions.json_access import canonical_json, digest
 from sparkwarden.operators.quality import event_rules
-from sparkwarden.sources.catalog import DEFAULT_SOURCES, SourceRegistry
+from sparkwarden.sources.catalog import SOURCES, Sources
 from sparkwarden.sources.manifest import declared_files
 from sparkwarden.sources.records import parse_documents
 from sparkwarden.sources.store import Store
@@ -26,7 +26,7 @@ CHECKS = (
 def evidence_audit(
     store: Store,
     uids: DataFrame | None = None,
-    sources: SourceRegistry = DEFAULT_SOURCES,
+    sources: Sources = SOURCES,
     tag: str = IDENTITY_TAG,
 ) -> DataFrame:
     """``uids`` (event_uid) limits the audit; ``verified`` is the sum of the checks."""

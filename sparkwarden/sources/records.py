@@ -127,12 +127,12 @@ def _formats_by_envelope() -> dict[tuple[str, bool], list[str]]:
     return grouped
 
 
-def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Lines of text files as (file_path, line_number, line).
 
     Every split counts its own lines first; the offsets of a file's splits then
     follow from a running sum over one row per split, not over the lines."""
-    lines = spark.read.text(paths).select(
+    lines = spark.read.option("recursiveFileLookup", "true").text(paths).select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("row_id"),

@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from sparkwarden.sources.catalog import DEFAULT_JOBS
+from sparkwarden.sources.catalog import SOURCES
 from sparkwarden.sources.normalize import Scope, with_declared_scope
 
 START = datetime(2031, 5, 4, 10, 0, 0, tzinfo=timezone.utc)
@@ -168,7 +168,7 @@ def normalize(spark, source, records, scope=None):
     )
     if scope is None and source.startswith("azure.entra"):
         scope = Scope("azure.tenant", "t1", "t1")
-    job = next(j for j in DEFAULT_JOBS if j.source == source)
+    job = next(j for j in SOURCES if j.source == source)
     return job.normalize(with_declared_scope(frame.drop("text"), scope))
 
 
@@ -176,14 +176,15 @@ def events(spark, source, records, scope=None):
     return normalize(spark, source, records, scope).where(F.size("problems") == 0)
 
 
-def write_dataset(folder: Path, source, files, fmt, provider, dataset_id="d1", **more) -> str:
-    """Files (name -> text) and their manifest; returns the manifest path."""
+def write_dataset(folder: Path, source, files, fmt, provider, dataset_id="d1", formats=None, **more) -> str:
+    """Files (name -> text) and their manifest; returns the manifest path. ``formats``
+    names the format of single files."""
     folder.mkdir(parents=True, exist_ok=True)
     listed = []
     for name, text in files.items():
         (folder / name).write_text(text)
         digest = hashlib.sha256(text.encode()).hexdigest()
-        listed.append({"path": name, "sha256": digest, "format": fmt})
+        listed.append({"path": name, "sha256": digest, "format": (formats or {}).get(name, fmt)})
     manifest = {
         "dataset_id": dataset_id,
         "provider": provider,

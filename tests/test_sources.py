@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from samples import attach, audit, azure, bucket_policy, credential, gcp, normalize, stamp, trail
 
-from sparkwarden.sources.catalog import DEFAULT_SOURCES, SourceJob, SourceRegistry
+from sparkwarden.sources.catalog import SOURCES, faults, format_table, source_of
 from sparkwarden.sources.normalize import Scope
 from sparkwarden.sources.records import numbered_lines, parse_documents, parse_lines
 
@@ -143,17 +143,14 @@ def test_line_numbers_are_exact_across_splits(spark, tmp_path):
     assert len(rows) == 1600 and all(r.record_pointer == f"line:{r.n}" for r in rows)
 
 
-def test_source_registry(spark):
-    assert DEFAULT_SOURCES.catalog(spark).where("implemented").count() == 5
-    job = SourceJob("aws", "aws.cloudtrail", ("x",), lambda df: df)
-    with pytest.raises(ValueError, match="two jobs"):
-        SourceRegistry([job, job])
-    with pytest.raises(ValueError, match="provider"):
-        SourceRegistry([SourceJob("gcp", "aws.cloudtrail", ("x",), lambda df: df)])
-    with pytest.raises(ValueError, match="formats"):
-        SourceRegistry([SourceJob("aws", "aws.cloudtrail", (), lambda df: df)])
-    with pytest.raises(ValueError, match="no job"):
-        SourceRegistry([]).job("aws", "aws.cloudtrail")
+def test_source_table(spark):
+    assert format_table(spark).count() == 6 and not faults(SOURCES)
+    trail = source_of(SOURCES, "aws", "aws.cloudtrail")
+    assert faults([trail, trail]) == ["aws.cloudtrail: listed 2 times"]
+    assert faults([trail._replace(formats=())]) == ["aws.cloudtrail: no format"]
+    for sources, provider in ((SOURCES, "gcp"), ([], "aws"), ([trail, trail], "aws")):
+        with pytest.raises(ValueError, match="aws.cloudtrail"):
+            source_of(sources, provider, "aws.cloudtrail")
 
 
 def test_bucket_policy_lifts_its_deltas(spark):
