@@ -177,9 +177,12 @@ def _fields(frame: DataFrame, names: list[str]) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in frame.schema.fields if f.name in names)
 
 
-def _pass(frame: DataFrame, block: list, window: int, keep: list[str], own: list[str]) -> DataFrame:
+def _pass(
+    frame: DataFrame, block: list, window: int, keep: list[str], own: list[str], cut: bool = False
+) -> DataFrame:
     """One block searched in ``frame.text``; ``own`` names the result columns, whose
-    earlier contents (from other blocks) are merged in."""
+    earlier contents (from other blocks) are merged in. With ``cut`` the spans are cut
+    out of the text instead of being told."""
     sent = frame.sparkSession.sparkContext.broadcast(Phrases(block, window))  # bounded by BLOCK_BYTES
     words, spans, items = own
     again = spans in frame.columns
@@ -197,6 +200,9 @@ def _pass(frame: DataFrame, block: list, window: int, keep: list[str], own: list
                     pairs = [(x["start"], x["end"]) for x in old] + hits[i]
                     hits[i] = merged(*np.array(pairs, dtype=np.int64).reshape(-1, 2).T)
                     owners[i] |= set(ids)
+            if cut:
+                yield _without_spans(batch, keep, hits)
+                continue
             yield pa.RecordBatch.from_arrays(
                 [batch.column(n) for n in keep]
                 + [
@@ -208,7 +214,7 @@ def _pass(frame: DataFrame, block: list, window: int, keep: list[str], own: list
             )
 
     result = f"`{words}` long, `{spans}` array<struct<start:long,end:long>>, `{items}` array<string>"
-    return frame.mapInArrow(find, _fields(frame, keep) + result)
+    return frame.mapInArrow(find, _fields(frame, keep)[:-2] if cut else _fields(frame, keep) + result)
 
 
 def search(
@@ -218,16 +224,18 @@ def search(
     own: tuple[str, str, str] = ("n_words", "spans", "items"),
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
+    cut: bool = False,
 ) -> DataFrame:
     """``keep`` columns of ``docs`` with, under the names ``own``, the number of words,
-    the merged word spans that benchmark phrases cover, and the ids of those items."""
+    the merged word spans that benchmark phrases cover, and the ids of those items; with
+    ``cut`` the ``keep`` columns alone, without the words of the spans in the text."""
     frame = docs.withColumn("text", F.col("text").cast("string"))
     blocks = benchmark_blocks(benchmark, block_bytes)
     block = next(blocks)
     for later in blocks:
         frame = _pass(frame, block, window, docs.columns, list(own))
         block = later
-    return _pass(frame, block, window, keep, list(own))
+    return _pass(frame, block, window, keep, list(own), cut)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **sizes) -> DataFrame:
@@ -245,42 +253,36 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **sizes) -> DataFrame:
     )
 
 
-def _cut(text: str, spans: list[dict]) -> str:
+def _cut(text: str, spans: list[tuple[int, int]]) -> str:
     """``text`` without the stretches from the first to the last word of each span."""
     raw = text.encode()
     words = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(_LOWER))]
     out, at = [], 0
-    for span in spans:
-        out.append(raw[at : words[span["start"]][0]])
-        at = words[span["end"] - 1][1]
+    for start, end in spans:
+        out.append(raw[at : words[start][0]])
+        at = words[end - 1][1]
     return b"".join([*out, raw[at:]]).decode()
 
 
+def _without_spans(batch: pa.RecordBatch, names: list[str], hits: list[list]) -> pa.RecordBatch:
+    changed = {i: None for i, hit in enumerate(hits) if hit}
+    if changed:
+        texts = batch.column("text").to_pylist()
+        changed = {i: _cut(texts[i], hits[i]) for i in changed}
+    arrays = []
+    for name in names:
+        column = batch.column(name)
+        if changed and name in ("text", "n_chars"):
+            values = column.to_pylist()
+            for i, text in changed.items():
+                values[i] = text if name == "text" else len(text)
+            column = pa.array(values, column.type)
+        arrays.append(column)
+    return pa.RecordBatch.from_arrays(arrays, names)
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **sizes) -> DataFrame:
     """``docs`` with every benchmark span cut out of its text and n_chars, where there is
     such a column, set to the new length. Clean rows come back as they were."""
     own = _fresh(docs.columns, "n_words", "spans", "items")
-    found = search(docs, benchmark, docs.columns, own=tuple(own), **sizes)
-    names, spans = docs.columns, own[1]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches):
-            changed = {
-                i: _cut(text, hit)
-                for i, (text, hit) in enumerate(
-                    zip(batch.column("text").to_pylist(), batch.column(spans).to_pylist())
-                )
-                if hit
-            }
-            arrays = []
-            for name in names:
-                column = batch.column(name)
-                if changed and name in ("text", "n_chars"):
-                    values = column.to_pylist()
-                    for i, text in changed.items():
-                        values[i] = text if name == "text" else len(text)
-                    column = pa.array(values, column.type)
-                arrays.append(column)
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    return found.mapInArrow(cut, _fields(docs, names)[:-2])
+    return search(docs, benchmark, docs.columns, own=tuple(own), cut=True, **sizes)

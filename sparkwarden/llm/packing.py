@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwarden.llm.batches import bounded
-from sparkwarden.llm.tokens import encoder
+from sparkwarden.llm.tokens import TEXT_BYTES, encoder
 from sparkwarden.shared import kept
 
 GROUP_PIECES = 32_768
@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, ids: boo
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         encode = encoder(tokenizer).encode
-        for batch in bounded(batches):
+        for batch in bounded(batches, size=TEXT_BYTES):
             out: list[list] = [[] for _ in names]
             raws = encode(batch.column("text").to_pylist())
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), raws):

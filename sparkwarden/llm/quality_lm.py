@@ -60,7 +60,7 @@ def profiles(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        for batch in bounded(batches, rows=4 * BLOCK_DOCS):
+        for batch in bounded(batches, rows=2 * BLOCK_DOCS, size=8 << 20):
             groups: dict[str, list[int]] = {}
             for i, lang in enumerate(batch.column("lang").to_pylist()):
                 groups.setdefault(lang, []).append(i)

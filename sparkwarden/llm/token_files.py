@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sparkwarden.llm.batches import bounded
 from sparkwarden.llm.files import fresh_name, reading, writing
-from sparkwarden.llm.tokens import encoder
+from sparkwarden.llm.tokens import TEXT_BYTES, encoder
 from sparkwarden.shared import kept, new_folder
 
 MAGIC = b"PLN1"
@@ -168,7 +168,7 @@ def write_token_files(
         with writing(path) as stream:
             writer = PlaneWriter(stream, kind, block_ids)
             encode = encoder(tokenizer).encode
-            for batch in bounded(batches):
+            for batch in bounded(batches, size=TEXT_BYTES):
                 doc_ids = batch.column("doc_id").to_pylist()
                 for doc_id, raw in zip(doc_ids, encode(batch.column("text").to_pylist())):
                     writer.add(doc_id, raw + end)

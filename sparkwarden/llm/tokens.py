@@ -26,11 +26,24 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark provides the p
 from tokenizers import Tokenizer  # noqa: E402
 
 CUT = re.compile(r" (?=[!-~À-ɏ])|(?<=[!-~À-ɏ])(?=\n[!-~À-ɏ])")
-MARK = "|"
-CACHE_ENTRIES = 1_500_000
+# A blank that may not be cut at; without one, splitting at all blanks gives the same.
+KEPT = re.compile(r"[ \n](?![!-~À-ɏ])|(?<![!-~À-ɏ])\n")
+SPLIT = "|"
+MARKS = ".,;:!?*&$%#"
+CACHE_ENTRIES = 900_000
+TEXT_BYTES = 4 << 20  # texts that are split at a time
 JOINED = 1_000  # distinct words that are encoded by one call
 
 
+def _latin(text: str) -> bool:
+    """Whether all characters are Latin-1, which no normal form changes."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _packed(ids) -> bytes:
     return np.array(ids, dtype="<u4").tobytes()
 
@@ -46,8 +59,10 @@ class WordCachedEncoder:
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.special = tuple(token.content for token in added)
         self.words: dict[str, bytes] = {}
-        marks = self._ids([f"a {MARK} b"])[0]
-        alone = self._ids([f" {MARK}"])[0]
+        self.folds = "Lowercase" in str(self.tokenizer.normalizer)
+        self.tails: dict[str, bytes] = {}
+        marks = self._ids([f"a {SPLIT} b"])[0]
+        alone = self._ids([f" {SPLIT}"])[0]
         # The mark must be one token wherever it stands between spaces.
         usable = len(alone) == 1 and list(marks).count(alone[0]) == 1
         self.mark = alone[0] if usable else None
@@ -56,25 +71,48 @@ class WordCachedEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        spelled = [w if w[0] == "\n" else f" {w}" for w in words]
-        plain = [i for i, w in enumerate(words) if MARK not in w] if self.mark is not None else []
-        known = set(plain)
-        other = [i for i in range(len(words)) if i not in known]
-        for i, ids in zip(other, self._ids([spelled[i] for i in other])):
-            self.words[words[i]] = _packed(ids)
-        groups = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
-        texts = ["".join(f"{spelled[i]} {MARK}" for i in group) for group in groups]
-        for group, ids in zip(groups, self._ids(texts)):
-            ids = np.array(ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.mark).tolist()
+        """Store the ids of new words. Punctuation behind a letter is a piece of its own
+        in any context, so a known word with new marks behind it needs no encoding."""
+        stored, cores, wanted = self.words, [], []
+        for word in words:
+            core = word.rstrip(MARKS)
+            if len(core) != len(word) and core[-1:].isalpha():
+                cores.append((word, core))
+            else:
+                wanted.append(word)
+        bare = {core for _, core in cores}.difference(stored)
+        self._encode([*wanted, *bare.difference(wanted)])
+        tails = self.tails
+        new = list({word[len(core) :] for word, core in cores}.difference(tails))
+        tails.update(zip(new, map(_packed, self._ids(new))))
+        for word, core in cores:
+            stored[word] = stored[core] + tails[word[len(core) :]]
+
+    def _encode(self, words: list[str]) -> None:
+        """Many words by one call: joined by a mark that is one token between spaces."""
+        plain = [w for w in words if SPLIT not in w] if self.mark is not None else []
+        alone = [w for w in words if SPLIT in w] if self.mark is not None else words
+        for at in range(0, len(plain), JOINED):
+            group = plain[at : at + JOINED]
+            text = "".join([w + " |" if w[0] == "\n" else f" {w} |" for w in group])
+            ids = np.array(self._ids([text])[0], dtype="<u4")
+            ends = (4 * np.flatnonzero(ids == self.mark)).tolist()
             if len(ends) != len(group):  # a word whose own ids hold the mark
-                for i, own in zip(group, self._ids([spelled[i] for i in group])):
-                    self.words[words[i]] = _packed(own)
+                alone = alone + group
                 continue
-            raw, begin = ids.tobytes(), 0
-            for i, end in zip(group, ends):
-                self.words[words[i]] = raw[begin : 4 * end]
-                begin = 4 * end + 4
+            raw = ids.tobytes()
+            starts = [0, *(end + 4 for end in ends)]
+            self.words.update(zip(group, [raw[a:b] for a, b in zip(starts, ends)]))
+        spelled = [w if w[0] == "\n" else f" {w}" for w in alone]
+        self.words.update(zip(alone, map(_packed, self._ids(spelled))))
+
+    def _parts(self, text: str) -> list[str]:
+        """The text cut into its first word and the others, those without their space."""
+        if self.folds and (text.isascii() or _latin(text)):
+            text = text.lower()  # as the library would, so that fewer words differ
+        if KEPT.search(text):
+            return CUT.split(text)
+        return text.replace("\n", " \n").split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Null counts as empty."""
@@ -83,17 +121,19 @@ class WordCachedEncoder:
         out: list[bytes] = [b""] * len(texts)
         for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
             out[i] = _packed(ids)
-        parts = [CUT.split(texts[i]) for i in cuttable]
+        parts = [self._parts(texts[i]) for i in cuttable]
         heads = self._ids([p[0] for p in parts])
         tails = [p[1:] for p in parts]
         distinct = set().union(*tails)
-        missing = [w for w in distinct if w not in self.words]
+        missing = list(distinct.difference(self.words))
         if len(self.words) + len(missing) > CACHE_ENTRIES:
             self.words.clear()
+            self.tails.clear()
             missing = list(distinct)
         self._learn(missing)
-        stored = self.words
-        get = {w: stored[w] for w in distinct}.__getitem__
+        # The words of these texts in a small table: most lookups are of few words.
+        keys = list(distinct)
+        get = dict(zip(keys, map(self.words.__getitem__, keys))).__getitem__
         for i, head, tail in zip(cuttable, heads, tails):
             out[i] = _packed(head) + b"".join(map(get, tail))
         return out
