@@ -169,11 +169,12 @@ def test_contamination_equals_brute_force(spark, block_bytes):
     assert clean.count() == 0
 
 
-def test_spans_are_cut_from_the_text(spark):
+@pytest.mark.parametrize("block_bytes", [1, 1 << 24])
+def test_spans_are_cut_from_the_text(spark, block_bytes):
     rows = [(1, "Keep, this " + ITEMS[0][1] + "; and that."), (2, None), (3, "untouched")]
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = frame(spark, rows)
-    left = decontamination.decontaminated(docs, items)
+    left = decontamination.decontaminated(docs, items, block_bytes=block_bytes)
     assert left.columns == docs.columns
     got = {r.doc_id: (r.text, r.n_chars) for r in left.collect()}
     assert got == {1: ("Keep, this ; and that.", 22), 2: (None, 0), 3: ("untouched", 9)}
