@@ -99,7 +99,7 @@ def evaluate(
     events = store.events(manifest.provider, manifest.source)
     if not truth.by_uid:
         fail_on({"source_ids": ambiguous_source_ids(events)})
-    detection = checked(detect(events, revision, own))
+    detection = checked(detect(events, revision, own), events)
     if not truth.by_uid:
         fail_on({"source_ids": source_id_mode_violations(detection.findings)})
     uids = detection.findings.select(F.explode("event_uids").alias("event_uid"))

@@ -642,19 +642,55 @@ def event_contract(spark, sf_dir):
     )
 
 
+# Damage done to a row, by its number, and the rules that must tell it.
+_DAMAGE = {
+    0: ({"outcome": "'maybe'"}, "outcome"),
+    1: ({"service": "''"}, "empty:service"),
+    2: ({"action": "NULL"}, "null:action"),
+    3: ({"scope_type": "'gcp.project'"}, "scope_type,declared_scope_type"),
+    4: ({"scope_type": "NULL", "scope_id": "'x'"}, "scope_id_without_type,declared_scope_type,declared_scope_id"),
+    5: ({"tenant_id": "'t'"}, "tenant_without_meaning"),
+    6: ({"declared_scope_id": "'other'"}, "declared_scope_id"),
+    7: ({"provider": "'gcp'"}, "provider_source,scope_type"),
+    8: ({"event_uid": "'evt_x'"}, "event_uid"),
+    9: ({"resources": "parse_json('{}')"}, "shape:resources"),
+    10: ({"raw": "parse_json('[]')"}, "shape:raw"),
+    11: ({"declared_tenant_id": "'t'"}, "declared_tenant_id"),
+}
+
+
+@query(
+    "SELECT rule, count(*) AS n FROM (SELECT event_id, unnest(CASE event_id % 13 "
+    + " ".join(f"WHEN {k} THEN string_split('{rules}', ',')" for k, (_, rules) in _DAMAGE.items())
+    + " END) AS rule FROM events WHERE user_id % 22 <> 0) AS broken GROUP BY rule"
+)
+def event_contract_damaged(spark, sf_dir):
+    """Rows damaged in a known way: every rule of the contracts tells just its own."""
+    events = stored(spark, sf_dir, "aws.cloudtrail").where("scope_id IS NOT NULL")
+    before = {f"declared_{c}": F.col(c) for c in ("scope_type", "scope_id", "tenant_id")}
+    rows = events.withColumns(before)
+    changes: dict[str, str] = {}
+    for number, (damage, _) in _DAMAGE.items():
+        for name, value in damage.items():
+            changes[name] = changes.get(name, "CASE id % 13") + f" WHEN {number} THEN {value}"
+    rows = rows.withColumns({n: F.expr(f"{text} ELSE {n} END") for n, text in changes.items()})
+    rules = {**event_rules(), **scope_rules(), **declared_scope_rules()}
+    return violations(rows, ["id"], rules).groupBy("rule").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT event_id AS id, CASE WHEN event_id % 5 = 0 THEN 'invalid_event_time'
  WHEN event_id % 5 = 1 THEN 'missing_action,missing_service' WHEN event_id % 5 = 2 THEN
- 'record_not_object' WHEN event_id % 5 = 3 THEN 'missing_action' END AS problems
-FROM events WHERE event_id % 5 < 4""")
+ 'record_not_object' WHEN event_id % 5 = 3 THEN 'missing_action' ELSE '' END AS problems
+FROM events""")
 def refused_records(spark, sf_dir):
-    """Damaged CloudTrail records and why each is refused."""
-    texts = record_texts(spark, sf_dir, "aws.cloudtrail").where("id % 5 < 4")
+    """Damaged CloudTrail records and why each is refused; sound ones pass through."""
+    texts = record_texts(spark, sf_dir, "aws.cloudtrail")
     damaged = texts.withColumn(
         "text",
         F.expr("""CASE id % 5
           WHEN 0 THEN '{"eventSource":"s","eventName":"n","eventTime":"2024-01-01T00:00:00"}'
           WHEN 1 THEN '{"eventSource":"","eventName":7}'
-          WHEN 2 THEN '[1]' ELSE replace(text, '"eventName"', '"name"') END"""),
+          WHEN 2 THEN '[1]' WHEN 3 THEN replace(text, '"eventName"', '"name"') ELSE text END"""),
     ).withColumn("record", F.parse_json("text")).drop("text")
     job = SOURCES[0]
     # A record that is no object lacks everything else too; report that alone.
@@ -665,19 +701,21 @@ def refused_records(spark, sf_dir):
 
 
 @query("""SELECT 'ev-' || (event_id - event_id % 4) AS source_event_id, count(*) AS deliveries
-FROM events WHERE (event_id - event_id % 4) % 89 <> 0 AND user_id % 22 <> 0
-GROUP BY 1, user_id % 5 HAVING count(DISTINCT event_id) > 1""")
+FROM events WHERE (event_id - event_id % 4) % 89 <> 0
+GROUP BY 1, CASE WHEN user_id % 22 <> 0 THEN user_id % 5 END HAVING count(DISTINCT event_id) > 1""")
 def conflicting_payloads(spark, sf_dir):
-    """Different payloads under one source id within one account."""
-    events = stored(spark, sf_dir, "aws.cloudtrail").where("account_id IS NOT NULL")
+    """Different payloads under one source id within one account, an unknown one too."""
+    events = stored(spark, sf_dir, "aws.cloudtrail")
     group = F.expr("id - id % 4")
     shared = events.withColumn(
         "source_event_id", F.when(group % 89 != 0, F.concat(F.lit("ev-"), group))
     )
     found = source_id_conflicts(shared)
     keys = ["scope_id", "source_event_id"]
+    clash = found.select(F.col("scope_id").alias("c_scope"), F.col("source_event_id").alias("c_id"))
+    same = F.col("scope_id").eqNullSafe(F.col("c_scope")) & (F.col("source_event_id") == F.col("c_id"))
     return (
-        shared.join(found.select(*keys), keys, "left_semi")
+        shared.join(clash, same, "left_semi")
         .groupBy(*keys)
         .agg(F.count("*").alias("deliveries"))
         .select("source_event_id", "deliveries")

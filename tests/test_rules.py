@@ -153,7 +153,7 @@ def test_delivery_order_and_repeats_do_not_matter(spark):
 def test_findings_evidence_and_timeline(spark):
     both = permission(v6=("::/0",))
     frame = events(spark, "aws.cloudtrail", [stop(), ingress(permissions=[both]), trail("Between", at=30), trail("After", at=99)]).cache()
-    found = checked(detect(frame))
+    found = checked(detect(frame), frame)
     row = found.findings.first()
     assert found.findings.count() == 1 and row.matches == 2 and len(row.event_uids) == 2
     assert row.source_event_ids == ["StopLogging-0.0", "AuthorizeSecurityGroupIngress-60.0"]
@@ -165,6 +165,8 @@ def test_findings_evidence_and_timeline(spark):
     story = explain(found, frame, row.finding_id)
     assert [r.action for r in ordered_timeline(story.timeline).collect()] == ["StopLogging", "Between", "AuthorizeSecurityGroupIngress"]
     assert story.events.count() == 2
+    with pytest.raises(ValueError, match="no finding"):
+        explain(found, frame, "finding_none")
 
 
 def _rule(body, **more):
@@ -181,11 +183,14 @@ def test_rule_forms_and_scoping(spark):
     both = frame.unionByName(foreign)
     for body in (Query("SELECT event_uid FROM {events}"), Custom(lambda e: e.select("event_uid"), "all")):
         book = RuleBook({"x": {"r": _rule(body)}})
-        assert detect(both, "x", book).findings.count() == 1
+        only = checked(detect(both, "x", book), both).findings.collect()
+        assert [r.source_event_ids for r in only] == [["StopLogging-0.0"]]  # filled from the event
     listed = _rule(Query("SELECT array(event_uid, event_uid) AS uids FROM {events}"), evidence=Evidence(list_column="uids"))
     assert detect(both, "x", RuleBook({"x": {"r": listed}})).evidence_violations().count() == 1
     with pytest.raises(ValueError, match="evidence"):
-        checked(detect(both, "x", RuleBook({"x": {"r": listed}})))
+        checked(detect(both, "x", RuleBook({"x": {"r": listed}})), both)
+    with pytest.raises(ValueError, match="unknown_event"):
+        checked(detect(both, "x", book), foreign)
 
 
 def test_rule_book_contract(spark):
