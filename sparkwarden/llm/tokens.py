@@ -30,7 +30,7 @@ CUT = re.compile(r" (?=[!-~À-ɏ])|(?<=[!-~À-ɏ])(?=\n[!-~À-ɏ])")
 KEPT = re.compile(r"[ \n](?![!-~À-ɏ])|(?<![!-~À-ɏ])\n")
 SPLIT = "|"
 MARKS = ".,;:!?*&$%#"
-CACHE_ENTRIES = 900_000
+CACHE_ENTRIES = 500_000
 TEXT_BYTES = 4 << 20  # texts that are split at a time
 JOINED = 1_000  # distinct words that are encoded by one call
 
