@@ -300,4 +300,5 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rejected = kept(rejected.toDF("r_id", "r_digest"), "rejected")
     digest = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("r_id")) & (digest == F.col("r_digest"))
-    return docs.join(rejected, same, "left_anti")
+    # By hash at every size, so that disk and time follow the input evenly; AQE splits skew.
+    return docs.join(rejected.hint("shuffle_hash"), same, "left_anti")

@@ -165,7 +165,8 @@ def deduplicated(docs: DataFrame, words: int = 5, radius: int = 7, shared: int =
     chosen = kept(chosen.toDF("c_id", "c_digest"), "chosen")
     digest = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("c_id")) & (digest == F.col("c_digest"))
-    rows = docs.join(chosen, same, "left_semi")
+    # By hash at every size, so that disk and time follow the input evenly; AQE splits skew.
+    rows = docs.join(chosen.hint("shuffle_hash"), same, "left_semi")
     # Rows that repeat both id and text would all stay; only then the rows are compared.
     unique = prints.groupBy("doc_id", "digest").count().where("count > 1").isEmpty()
     return rows if unique else rows.dropDuplicates(["doc_id", "text"])
