@@ -118,11 +118,16 @@ ANCHORS = ("licens", "permission", "copyright", "without warranty", "without any
 
 _OTHER = r"[^a-z0-9+]+"
 _ANCHOR = "(?i)" + "|".join(ANCHORS)
-# (pattern, replacement) in order: a licence wrapped over lines is joined again, and a
-# full stop or colon ends a sentence where white space follows (not in 2.0).
+# (pattern, replacement) in order: marks that do not end a sentence inside a known notice
+# go, a licence wrapped over lines is joined again, and a full stop or colon ends a
+# sentence where white space follows (not in 2.0).
 UNWRAP = (
+    (r"(SPDX-License-Identifier):[ \t]*([^\r\n]*)", "$1 $2\n"),
     (r"([A-Za-z,])\n([a-z])", "$1 $2"),
     (r"([A-Z,])\n([A-Z][A-Z])", "$1 $2"),
+    (r"([Ss]oftware|[Ff]oundation|WARRANTY|[Ww]arranty)[;:][ \t\n]+([Yy]ou can|either version|without even)", "$1 $2"),
+    (r"([ (,]v)\.[ \t\n]+([0-9])", "$1 $2"),
+    (r"https://", "http://"),
     (r"[.:]([ \t\r\n])", "\n$1"),
 )
 BREAK = r"[;!?\n]"

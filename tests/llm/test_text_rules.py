@@ -136,6 +136,86 @@ def test_licences_by_rule_and_by_sql(spark):
     assert licenses.licenses(docs.where("false")).count() == 0
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+{}http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{} either version {} of the License, or (at
+your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of merchantability
+or fitness for a particular purpose.  See the GNU General Public License for
+more details."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.
+If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions
+and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions
+and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+CC = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+# The published text of every rule, in the order of RULES as they were first.
+NOTICES = {
+    (2, 3, 4, 6, 7): APACHE.format("\n    "),
+    (2, 3, 5, 6, 7): APACHE.format(""),
+    (10, 11, 12, 13): MIT,
+    (15, 17, 18): GPL.format(";", ";", 2),
+    (16, 17, 18): GPL.format(":", ",", 3),
+    (25, 26, 27): BSD,
+    (28, 29): MPL,
+    (1,): "Licensed under the Apache License, Version 2.0.",
+    (2,): APACHE.split(";")[0],
+    (8,): "Released under the MIT License.",
+    (9,): "Licensed under the MIT license",
+    (10,): MIT.split(":")[0],
+    (14,): "This work is licensed under the GNU General Public License version 3.",
+    (15,): GPL.format(";", ";", 2).split("\n\n")[0],
+    (16,): GPL.format(":", ",", 3).split("\n\n")[0],
+    (19,): "Licensed under CC BY-NC 4.0.",
+    (20,): "Licensed under CC BY 4.0",
+    (21,): "Licensed under CC BY-SA 4.0!",
+    (22,): CC.format(""),
+    (23,): CC.format("-ShareAlike"),
+    (24,): CC.format("-NonCommercial"),
+    (25,): BSD.split(":")[0],
+    (28,): MPL.split("\n")[0],
+    (30,): "This is free and unencumbered software released into the public domain.",
+    (31,): "// SPDX-License-Identifier: Apache-2.0",
+    (32,): "# SPDX-License-Identifier: MIT\nimport os",
+    (33,): "/* SPDX-License-Identifier: GPL-3.0-or-later */\nint a;",
+    (34,): "SPDX-License-Identifier:\tBSD-3-Clause\r\nx",
+}
+
+
+def told_licenses(spark, texts):
+    """(licences, sentence ids) of each text, the same by SQL."""
+    rows = list(enumerate(texts))
+    connection = duckdb.connect()
+    connection.register("documents", pd.DataFrame({"doc_id": [r[0] for r in rows], "text": texts}))
+    found = licenses.licenses(frame(spark, rows))
+    assert compare(found, connection, licenses.licenses_sql()) is None
+    got = {r.doc_id: (r.licenses, r.sentence_ids) for r in found.collect()}
+    return [got[i] for i in range(len(rows))]
+
+
+def test_every_rule_finds_its_published_notice(spark):
+    names = {numbers: name for name, numbers in licenses.RULES}
+    for numbers, got in zip(NOTICES, told_licenses(spark, list(NOTICES.values()))):
+        assert got == (names[numbers], ",".join(map(str, numbers)))
+
+
 def test_known_sentences_and_rules_are_consistent():
     for sentence_ in licenses.SENTENCES:
         assert sentence_ == licenses.normal(sentence_)
