@@ -11,7 +11,8 @@ Only texts with one of the ``ANCHORS`` are split; every known sentence has one.
 
 Given results: null, empty and statement-free texts have no licences (empty lists).
 Rules of several sentences win over the shorter rules they contain; what is found
-repeatedly is counted, and listed once. Every row gives one row, repeated rows too;
+repeatedly is counted, and listed once. The first BSD condition alone does not tell its
+variant and is named BSD; the four-clause BSD text is not known. Every row gives one row, repeated rows too;
 empty tables give none. Extra columns are ignored.
 """
 
@@ -81,6 +82,14 @@ SENTENCES = (
     "spdx license identifier mit",
     "spdx license identifier gpl 3 0 or later",
     "spdx license identifier bsd 3 clause",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse "
+    "or promote products derived from this software without specific prior written permission",
+    "the name of the author may not be used to endorse or promote products derived from this "
+    "software without specific prior written permission",
+    "licensed under the gnu general public license version 3",
+    "licensed under a creative commons attribution 4 0 international license",
+    "licensed under a creative commons attribution sharealike 4 0 international license",
+    "licensed under a creative commons attribution noncommercial 4 0 international license",
 )
 # Licence names and the sentence numbers (from 1) that make each, in order.
 RULES = (
@@ -89,6 +98,8 @@ RULES = (
     ("MIT", (10, 11, 12, 13)),
     ("GPL-2.0-or-later", (15, 17, 18)),
     ("GPL-3.0-or-later", (16, 17, 18)),
+    ("BSD-3-Clause", (25, 26, 27, 35)),
+    ("BSD-3-Clause", (25, 26, 27, 36)),
     ("BSD-2-Clause", (25, 26, 27)),
     ("MPL-2.0", (28, 29)),
     ("Apache-2.0", (1,)),
@@ -105,29 +116,60 @@ RULES = (
     ("CC-BY-4.0", (22,)),
     ("CC-BY-SA-4.0", (23,)),
     ("CC-BY-NC-4.0", (24,)),
-    ("BSD-2-Clause", (25,)),
+    ("BSD", (25,)),
     ("MPL-2.0", (28,)),
     ("Unlicense", (30,)),
     ("Apache-2.0", (31,)),
     ("MIT", (32,)),
     ("GPL-3.0-or-later", (33,)),
     ("BSD-3-Clause", (34,)),
+    ("GPL-3.0", (37,)),
+    ("CC-BY-4.0", (38,)),
+    ("CC-BY-SA-4.0", (39,)),
+    ("CC-BY-NC-4.0", (40,)),
 )
 # Every known sentence holds one of these.
 ANCHORS = ("licens", "permission", "copyright", "without warranty", "without any warranty", "redistribut", "mpl", "public domain")
 
 _OTHER = r"[^a-z0-9+]+"
 _ANCHOR = "(?i)" + "|".join(ANCHORS)
-# (pattern, replacement) in order: marks that do not end a sentence inside a known notice
-# go, a licence wrapped over lines is joined again, and a full stop or colon ends a
-# sentence where white space follows (not in 2.0).
+# (pattern, replacement) in order: comment marks, indentation and carriage returns go, marks
+# that do not end a sentence inside a known notice go, a licence wrapped over lines is joined
+# again, lead-ins are put in one form, and a full stop or colon ends a sentence where white
+# space follows (not in 2.0).
 UNWRAP = (
-    (r"(SPDX-License-Identifier):[ \t]*([^\r\n]*)", "$1 $2\n"),
+    (r"\r\n?", "\n"),
+    (r"[ \t]+|[*#=~_/-]{4,}", " "),
+    (r" ?(?:\*+/?|#+|//+|-->)? ?\n", "\n"),
+    # a comment that ends is not continued by the code below it
+    (r"((?:^|\n) ?(?:#|//)[^\n]*)\n([A-Za-z])", "$1\n\n$2"),
+    (r"(^|\n) ?(?:(?:/\*+|\*+/?|//+!?|#+|--+|%+|;+|<!--+|dnl |REM |> ) ?)?", "$1"),
+    (r"(SPDX-License-Identifier): ?([^\n]*)", "$1 $2\n"),
+    (r"(MIT [Ll]icense|International [Ll]icense)\n", "$1\n\n"),
+    # wraps before a capital, a digit, a quote or a bracket
+    (r"([^A-Za-z](?:[Tt]he|[Tt]his|of|or|OR|and|under|an?|in|by|to|IN|THE|OF|FOR|A|AND|NO))\n([\"“(]*[A-Za-z0-9])", "$1 $2"),
+    (
+        r"(GNU|General|Public|Free|Creative|Commons|Mozilla|Source|Code|MIT|Apache|International)\n"
+        r"(General|Public|[Ll]icense|Software|Foundation|Commons|Attribution|Code|Form)",
+        "$1 $2",
+    ),
+    (r"(Software)\n(Foundation)", "$1 $2"),
+    (r"(Licen[cs]e,|Attribution-?)\n(Version|ShareAlike|NonCommercial|[Oo]r )", "$1 $2"),
+    (r"([Vv]ersion|ShareAlike|NonCommercial|Attribution|CC BY|CC BY-NC|CC BY-SA)\n([0-9])", "$1 $2"),
+    (r"([0-9])\n(International|\([Tt]he|\(at your|of the )", "$1 $2"),
+    (r"([a-z,])\n(\(at your|\([Tt]he|\"|“|You can obtain)", "$1 $2"),
+    (r"([\"”)])\n([a-z]|BASIS|WITHOUT)", "$1 $2"),
     (r"([A-Za-z,])\n([a-z])", "$1 $2"),
     (r"([A-Z,])\n([A-Z][A-Z])", "$1 $2"),
-    (r"([Ss]oftware|[Ff]oundation|WARRANTY|[Ww]arranty)[;:][ \t\n]+([Yy]ou can|either version|without even)", "$1 $2"),
-    (r"([ (,]v)\.[ \t\n]+([0-9])", "$1 $2"),
+    (r"([Ss]oftware|[Ff]oundation|WARRANTY|[Ww]arranty)[;:][ \n]+([Yy]ou can|either version|without even)", "$1 $2"),
+    (r"([ (,]v)\.[ \n]+([0-9])", "$1 $2"),
     (r"https://", "http://"),
+    (r"[Nn]either the names? of [^;!?\n]{1,200}? nor the names of (?:its|their|any) ", "Neither the name of the copyright holder nor the names of its "),
+    (
+        r"[Tt]his (?:project|file|software|program|library|package|module|code|repository|document|source code|documentation) is "
+        r"(?:licensed|released|distributed|available|provided) under (?:the terms of )?",
+        "licensed under ",
+    ),
     (r"[.:]([ \t\r\n])", "\n$1"),
 )
 BREAK = r"[;!?\n]"

@@ -216,6 +216,46 @@ def test_every_rule_finds_its_published_notice(spark):
         assert got == (names[numbers], ",".join(map(str, numbers)))
 
 
+def test_headers_in_comments_and_wraps(spark):
+    third = "3. Neither the name of {} nor the names of its contributors may be used to endorse or promote\n" \
+        "products derived from this software without specific prior written permission.\n"
+    header = APACHE.format("\n    ")
+
+    def inside(mark, text):
+        return "\n".join((mark + line).rstrip() for line in text.split("\n"))
+
+    gpl = GPL.format(";", ",", 3).replace("of the License", "of the\nLicense").replace("(at\nyour", "\n(at your")
+    cases = {
+        BSD + third.format("the copyright holder"): "BSD-3-Clause",
+        BSD + third.format("Example, Inc."): "BSD-3-Clause",
+        BSD + "3. The name of the author may not be used to endorse or promote products derived from this software\n"
+        "without specific prior written permission.": "BSD-3-Clause",
+        BSD: "BSD-2-Clause",
+        BSD.split("\n\n")[0]: "BSD",
+        "This project is licensed under the MIT License.": "MIT",
+        "About. This file is released under the terms of the MIT license": "MIT",
+        "This project is licensed under the GNU General Public License version 3.": "GPL-3.0",
+        "This project is not licensed under the MIT License.": "",
+        "/*\n" + inside(" * ", header) + "\n */\nint main;": "Apache-2.0",
+        "#!/bin/sh\n" + inside("# ", header) + "\necho": "Apache-2.0",
+        inside("// ", gpl): "GPL-3.0-or-later",
+        inside("   ", header): "Apache-2.0",
+        inside("   ", header).replace("\n", "\r\n"): "Apache-2.0",
+        gpl.replace("\n", "\r\n"): "GPL-3.0-or-later",
+        inside("-- ", MIT): "MIT",
+        "/****\n" + inside(" * ", BSD + third.format("the University")) + "****/": "BSD-3-Clause",
+        inside("# ", MPL.replace("Public License", "Public\nLicense")): "MPL-2.0",
+        "Licensed under the MIT\nLicense.": "MIT",
+        "# Licensed under the MIT License\nimport os": "MIT",
+        "# SPDX-License-Identifier: MIT\n# more words": "MIT",
+        "Licensed under the MIT License\nCopyright (c) 2020": "MIT",
+    }
+    whole = {"Apache-2.0": "2,3,4,6,7", "GPL-3.0-or-later": "16,17,18", "MPL-2.0": "28,29"}
+    for (text, name), (got, ids) in zip(cases.items(), told_licenses(spark, list(cases))):
+        assert got == name, text
+        assert ids == whole.get(name, ids), text
+
+
 def test_known_sentences_and_rules_are_consistent():
     for sentence_ in licenses.SENTENCES:
         assert sentence_ == licenses.normal(sentence_)
