@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkwarden.llm import shingle_sets
 from sparkwarden.llm.batches import bounded
 from sparkwarden.llm.bit_slices import linked_roots
 from sparkwarden.llm.components import components
@@ -149,19 +150,22 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, shared: in
     )
 
 
-def deduplicated(docs: DataFrame, words: int = 5, radius: int = 7, shared: int = 2) -> DataFrame:
+def deduplicated(docs: DataFrame, words: int = 5) -> DataFrame:
     """``docs`` with one row of each class: the one with the smallest doc_id (null ids
     last), among equal ids the one with the smallest hash of its text. Rows stay as they
     were.
 
-    Seven of 64 bits are what five-word shingles of documents at a similarity of 0.8 to
-    0.9 differ in; unrelated documents differ in about 32."""
+    Classes are the components of the links between documents whose sets of five-word
+    shingles have a Jaccard similarity of at least 0.8 (``shingle_sets``); documents
+    without words are one class."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     narrow = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("digest"))
-    prints = kept(fingerprints(narrow, words), "prints")
+    prints = kept(shingle_sets.shingle_sets(narrow, words), "prints")
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
     distinct = kept(prints.groupBy("fp").agg(F.min(own).alias("own")), "fingerprints")
-    chosen = classes(distinct, radius, shared).groupBy("root").agg(F.min("own").alias("own")).select("own.doc_id", "own.digest")
+    roots = components(shingle_sets.links(prints)).withColumnRenamed("node", "fp")
+    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    chosen = rooted.groupBy("root").agg(F.min("own").alias("own")).select("own.doc_id", "own.digest")
     chosen = kept(chosen.toDF("c_id", "c_digest"), "chosen")
     digest = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("c_id")) & (digest == F.col("c_digest"))

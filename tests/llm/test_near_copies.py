@@ -108,6 +108,39 @@ def test_one_document_of_each_class_stays(spark):
         assert r.doc_id == (min(ids) if ids else None)
 
 
+def test_links_are_shingle_similarities(spark):
+    """Near copies over and under 0.8, a chain of them, and a large group with strays."""
+
+    def edited(seed, changes, words=200):
+        text = sentence(seed, words).split()
+        for at in range(changes):
+            text[3 + at * (words // max(changes, 1))] = f"edit{seed}x{at}"
+        return " ".join(text)
+
+    rows = [(i, edited(50 + i // 12, i % 12)) for i in range(240)]
+    rows += [(1000 + i, sentence(7, 200) + f" word{i}") for i in range(60)]
+    source = sentence(8, 400).split()
+    rows += [(2000 + i, " ".join(source[i * 15 : i * 15 + 200])) for i in range(13)]
+    sets = []
+    for _, text in rows:
+        words = BLANK.findall(text.translate(LOWER))
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+    parent = list(range(len(rows)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    want = {rows[find(i)][0] for i in range(len(rows))}
+    assert 20 < len(want) < 200
+    assert {r.doc_id for r in simhash.deduplicated(frame(spark, rows)).collect()} == want
+
+
 def test_phrase_index_finds_every_place():
     source = np.random.default_rng(5)
     for symbols in (2, 3, 9):
