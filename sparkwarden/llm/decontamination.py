@@ -12,8 +12,9 @@ what the passes find is joined by document. One block is the usual case.
 
 Words are runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z.
 
-Given results: null, empty or wordless documents have no words and no hits. Null items
-count as wordless and never occur. Item ids are compared as strings; items with one
+Given results: null, empty or wordless documents have no words and no hits. Items with
+null text count as wordless and never occur. Items with a null id are not looked for by
+``contamination``; ``decontaminated`` cuts their passages too. Item ids are compared as strings; items with one
 text all count. Repeated documents each get their row; equal doc_ids stay apart by
 row. Empty tables give no rows, or rows without hits. Extra columns are ignored, except
 that ``decontaminated`` carries the documents' own columns through.
@@ -146,11 +147,15 @@ def _found(texts: list[bytes | None], phrases: Phrases) -> Iterator[tuple[int, l
     yield from close()
 
 
-def benchmark_blocks(benchmark: DataFrame, size: int = BLOCK_BYTES) -> Iterator[list[tuple[str, bytes | None]]]:
-    """Items in blocks of bounded text; the driver holds one block at a time."""
+def benchmark_blocks(
+    benchmark: DataFrame, size: int = BLOCK_BYTES, nameless: bool = False
+) -> Iterator[list[tuple[str, bytes | None]]]:
+    """Items in blocks of bounded text; the driver holds one block at a time. With
+    ``nameless`` items without an id come too, under an empty one."""
     rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary"))
     block, total, any_block = [], 0, False
-    for row in rows.where("item_id IS NOT NULL").toLocalIterator():
+    rows = rows.fillna("", ["item_id"]) if nameless else rows.where("item_id IS NOT NULL")
+    for row in rows.toLocalIterator():
         block.append((row["item_id"], bytes(row["text"]) if row["text"] is not None else None))
         total += len(row["text"] or b"")
         if total >= size:
@@ -230,7 +235,7 @@ def search(
     the merged word spans that benchmark phrases cover, and the ids of those items; with
     ``cut`` the ``keep`` columns alone, without the words of the spans in the text."""
     frame = docs.withColumn("text", F.col("text").cast("string"))
-    blocks = benchmark_blocks(benchmark, block_bytes)
+    blocks = benchmark_blocks(benchmark, block_bytes, nameless=cut)
     block = next(blocks)
     for later in blocks:
         frame = _pass(frame, block, window, docs.columns, list(own))

@@ -212,3 +212,12 @@ def test_spans_are_cut_from_the_text(spark, block_bytes):
     got = {r.doc_id: (r.text, r.n_chars) for r in left.collect()}
     assert got == {1: ("Keep, this ; and that.", 22), 2: (None, 0), 3: ("untouched", 9)}
     assert decontamination.contamination(left, items).where("contaminated").count() == 0
+
+
+@pytest.mark.parametrize("block_bytes", [1, 1 << 24])
+def test_passages_of_items_without_id_are_cut(spark, block_bytes):
+    nameless = ITEMS[5][1]
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    docs = frame(spark, [(1, f"Keep, {nameless}; and {ITEMS[0][1]} that.")])
+    left = decontamination.decontaminated(docs, items, block_bytes=block_bytes)
+    assert [(r.text, r.n_chars) for r in left.collect()] == [("Keep, ; and  that.", 18)]
