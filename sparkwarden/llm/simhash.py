@@ -162,9 +162,10 @@ def deduplicated(docs: DataFrame, words: int = 5) -> DataFrame:
     narrow = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("digest"))
     prints = kept(shingle_sets.shingle_sets(narrow, words), "prints")
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
-    distinct = kept(prints.groupBy("fp").agg(F.min(own).alias("own")), "fingerprints")
-    roots = components(shingle_sets.links(prints)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = prints.groupBy("fp").agg(F.min(own).alias("own"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    distinct = kept(named, "fingerprints")
+    roots = components(shingle_sets.links(distinct, narrow, words)).withColumnRenamed("node", "fp")
+    rooted = distinct.select("fp", "own").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     chosen = rooted.groupBy("root").agg(F.min("own").alias("own")).select("own.doc_id", "own.digest")
     chosen = kept(chosen.toDF("c_id", "c_digest"), "chosen")
     digest = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
