@@ -12,6 +12,7 @@ from sparkwarden.llm.packing import packed_documents
 from sparkwarden.llm.quality_lm import judged
 from sparkwarden.llm.secrets import secret_spans
 from sparkwarden.llm.simhash import near_duplicates
+from sparkwarden.llm.spelling import variants
 from sparkwarden.llm.token_counts import count_tokens
 from sparkwarden.llm.token_files import written_and_read
 from sparkwarden.llm.warc import archived
@@ -89,3 +90,8 @@ def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op4_license_rules"] = licenses_sql()
+
+
+@query
+def op11_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "documents"))
