@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkwarden.llm import conversations
 from sparkwarden.llm.decontamination import contamination
 from sparkwarden.llm.exact_topk import top_k
 from sparkwarden.llm.licenses import licenses, licenses_sql
@@ -95,3 +96,8 @@ ORACLES["op4_license_rules"] = licenses_sql()
 @query
 def op11_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_coalescing_viterbi_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repairs(conversations.damaged(table(spark, sf_dir, "conversations")))
