@@ -16,6 +16,7 @@ from sparkwarden.llm.simhash import near_duplicates
 from sparkwarden.llm.spelling import variants
 from sparkwarden.llm.token_counts import count_tokens
 from sparkwarden.llm.token_files import written_and_read
+from sparkwarden.llm.toxicity import toxicity
 from sparkwarden.llm.warc import archived
 from sparkwarden.session import configure
 from sparkwarden.shared import new_folder
@@ -101,3 +102,8 @@ def op11_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_coalescing_viterbi_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repairs(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+@query
+def op12_scaled_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
