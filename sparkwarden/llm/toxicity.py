@@ -99,7 +99,8 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     known = known.select(F.col("doc_id").cast("long"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.where(~held_out()).join(known, "doc_id").select("doc_id", "text", "toxic")
+    # By hash at every size, so that disk follows the input evenly; AQE splits skew.
+    return docs.where(~held_out()).join(known.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "toxic")
 
 
 def document_counts(rows: DataFrame) -> DataFrame:
