@@ -13,9 +13,9 @@ what the passes find is joined by document. One block is the usual case.
 Words are runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z.
 
 Given results: null, empty or wordless documents have no words and no hits. Items with
-null text count as wordless and never occur. Items with a null id are not looked for by
-``contamination``; ``decontaminated`` cuts their passages too. Item ids are compared as strings; items with one
-text all count. Repeated documents each get their row; equal doc_ids stay apart by
+null text count as wordless and never occur. Items with a null id hit words and are cut
+like any other, but are not counted or named. Item ids are compared as strings; items with
+one text all count. Repeated documents each get their row; equal doc_ids stay apart by
 row. Empty tables give no rows, or rows without hits. Extra columns are ignored, except
 that ``decontaminated`` carries the documents' own columns through.
 """
@@ -51,9 +51,9 @@ def words_of(text: bytes | None) -> list[bytes]:
 class Phrases:
     """The distinct phrases of a block of items and the items that have each."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int):
         numbers: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        owners: dict[tuple[int, ...], set[str | None]] = {}
         for item_id, text in items:
             ids = [numbers.setdefault(w, len(numbers) + 1) for w in words_of(text)]
             for at in range(max(1, len(ids) - window + 1) if ids else 0):
@@ -63,7 +63,7 @@ class Phrases:
         self.table = np.zeros((len(owners), window), dtype=np.int64)
         for row, phrase in enumerate(owners):
             self.table[row, : len(phrase)] = phrase
-        self.owners = [sorted(o) for o in owners.values()]
+        self.owners = [sorted(o - {None}) for o in owners.values()]
         self.shortest = int(self.lengths.min()) if owners else 0
 
 
@@ -148,13 +148,11 @@ def _found(texts: list[bytes | None], phrases: Phrases) -> Iterator[tuple[int, l
 
 
 def benchmark_blocks(
-    benchmark: DataFrame, size: int = BLOCK_BYTES, nameless: bool = False
-) -> Iterator[list[tuple[str, bytes | None]]]:
-    """Items in blocks of bounded text; the driver holds one block at a time. With
-    ``nameless`` items without an id come too, under an empty one."""
+    benchmark: DataFrame, size: int = BLOCK_BYTES
+) -> Iterator[list[tuple[str | None, bytes | None]]]:
+    """Items in blocks of bounded text; the driver holds one block at a time."""
     rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary"))
     block, total, any_block = [], 0, False
-    rows = rows.fillna("", ["item_id"]) if nameless else rows.where("item_id IS NOT NULL")
     for row in rows.toLocalIterator():
         block.append((row["item_id"], bytes(row["text"]) if row["text"] is not None else None))
         total += len(row["text"] or b"")
@@ -235,7 +233,7 @@ def search(
     the merged word spans that benchmark phrases cover, and the ids of those items; with
     ``cut`` the ``keep`` columns alone, without the words of the spans in the text."""
     frame = docs.withColumn("text", F.col("text").cast("string"))
-    blocks = benchmark_blocks(benchmark, block_bytes, nameless=cut)
+    blocks = benchmark_blocks(benchmark, block_bytes)
     block = next(blocks)
     for later in blocks:
         frame = _pass(frame, block, window, docs.columns, list(own))

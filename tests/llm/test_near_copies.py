@@ -174,8 +174,8 @@ def brute_contamination(rows):
     phrases = {}
     for item, text in ITEMS:
         words = WORD.findall((text or "").translate(LOWER))
-        for at in range(max(1, len(words) - 9) if words and item is not None else 0):
-            phrases.setdefault(tuple(words[at : at + 10]), set()).add(str(item))
+        for at in range(max(1, len(words) - 9) if words else 0):
+            phrases.setdefault(tuple(words[at : at + 10]), set()).update([] if item is None else [str(item)])
     out = []
     for doc_id, text in rows:
         words = WORD.findall((text or "").translate(LOWER))
@@ -183,7 +183,7 @@ def brute_contamination(rows):
         for size in {len(p) for p in phrases}:
             for at in range(len(words) - size + 1):
                 found = phrases.get(tuple(words[at : at + size]))
-                if found:
+                if found is not None:
                     hit |= set(range(at, at + size))
                     items |= found
         digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
