@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TIME = "event_ns"
@@ -58,6 +58,43 @@ def sequence_pairs(
     )
 
 
+def first_after(
+    rows: DataFrame, blockers: DataFrame, keys: dict[str, str], within_ns: int, *, at: str, name: str
+) -> DataFrame:
+    """As-of join: ``rows`` with ``name``, the time of the first blocker strictly after ``at``
+    with equal keys; it may be NULL where none is within ``within_ns``.
+
+    Rows and blockers of one key and time slot are merged in order of time, latest first, and
+    the least blocker so far is carried along; a slot also gets the blockers of the next one.
+    So every row meets one blocker, however many there are. NULL keys and times never match;
+    such rows stay, spread over their slots."""
+    names = [f"key_{i}_" for i in range(len(keys))]
+    ours = rows.select(
+        "*",
+        *[F.col(c).alias(n) for c, n in zip(keys, names)],
+        time_bucket(F.col(at), within_ns).alias("slot_"),
+        F.col(at).alias("at_"),
+        F.lit(None).cast("long").alias("block_"),
+    )
+    known = F.col(TIME).isNotNull()
+    for column in keys.values():
+        known = known & F.col(column).isNotNull()
+    slot = time_bucket(F.col(TIME), within_ns)
+    times = blockers.where(known).select(
+        *[F.col(c).alias(n) for c, n in zip(keys.values(), names)],
+        F.explode(F.array(slot, slot - 1)).alias("slot_"),
+        F.col(TIME).alias("at_"),
+        F.col(TIME).alias("block_"),
+        F.lit(True).alias("is_block_"),
+    )
+    merged = ours.unionByName(times, allowMissingColumns=True)
+    # At one time rows come before blockers, so that these are not after them.
+    order = Window.partitionBy(*names, "slot_").orderBy(F.desc("at_"), F.asc_nulls_first("is_block_"))
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = merged.withColumn(name, F.min("block_").over(so_far)).where(F.col("is_block_").isNull())
+    return found.select(*rows.columns, name)
+
+
 def absent_between(
     pairs: DataFrame,
     blockers: DataFrame,
@@ -70,26 +107,10 @@ def absent_between(
     """Pairs with no blocker strictly between ``start`` and ``end``.
 
     ``keys`` maps pair columns to blocker columns; ``within_ns`` is the longest
-    span of a pair. The blockers, not the pairs, carry the second bucket, so no
-    pair is duplicated."""
-    slot = time_bucket(F.col(TIME), within_ns)
-    wanted = blockers.where(F.col(TIME).isNotNull()).select(
-        *[F.col(column).alias(f"block_{i}") for i, column in enumerate(keys.values())],
-        F.col(TIME).alias("block_ns"),
-        F.explode(F.array(slot, slot - 1)).alias("block_bucket"),
-    )
-    condition = (
-        (F.col("block_bucket") == F.col("pair_bucket"))
-        & (F.col("block_ns") > F.col(start))
-        & (F.col("block_ns") < F.col(end))
-    )
-    for i, column in enumerate(keys):
-        condition = condition & (F.col(column) == F.col(f"block_{i}"))
-    return (
-        pairs.withColumn("pair_bucket", time_bucket(F.col(start), within_ns))
-        .join(wanted, condition, "left_anti")
-        .drop("pair_bucket")
-    )
+    span of a pair. Each pair is compared with the first blocker after its start."""
+    met = first_after(pairs, blockers, keys, within_ns, at=start, name="next_block_")
+    free = F.col("next_block_").isNull() | (F.col("next_block_") >= F.col(end))
+    return met.where(free).drop("next_block_")
 
 
 def follow_ups(
