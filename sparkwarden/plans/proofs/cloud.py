@@ -17,7 +17,7 @@ from sparkwarden.operators.quality import (
     source_id_conflicts,
     violations,
 )
-from sparkwarden.operators.timeline import context_timeline
+from sparkwarden.operators.timeline import FINDING, context_timeline, timeline_index
 from sparkwarden.plans.detect import detect
 from sparkwarden.plans.detections import BASELINE, RESTART_AWARE, RULES
 from sparkwarden.plans.hunts import aws_key_first_use, entra_signin_inventory, gcp_key_use
@@ -623,6 +623,31 @@ def finding_timelines(spark, sf_dir):
     )
 
 
+@query(AWS + _TIMELINE.rpartition("SELECT s.t0")[0] + """SELECT e.source_event_id, e.account_id, e.t AS event_us,
+ min(s.t0) AS first_us, max(s.t1) AS last_us, count(*) AS findings
+FROM (SELECT DISTINCT start_row, end_row, account_id, t0, t1 FROM spans) s
+JOIN aws e ON e.account_id = s.account_id AND e.t BETWEEN s.t0 AND s.t1
+GROUP BY e.id, e.source_event_id, e.account_id, e.t""")
+def timeline_spans(spark, sf_dir):
+    """Every event in the span of any finding of one rule, once, with the findings that
+    point to it."""
+    events = stored(spark, sf_dir, "aws.cloudtrail").drop("id")
+    rules = RULES.for_source("aws", "aws.cloudtrail")
+    findings = detect(events, rules=rules).findings.where("rule_id = 'aws_new_key_admin_attach'")
+    index = timeline_index(findings, events)
+    piece = ["scope_id", "bucket_", "piece_start"]
+    ends = index.pointers.groupBy(*FINDING).agg(F.min("from_us").alias("start"), F.max("to_us").alias("end"))
+    at = index.events.select("event_uid", "source_event_id", "scope_id", "event_us", "bucket_", "piece_start")
+    pointed = at.join(index.pointers.select(*piece, *FINDING, "from_us", "to_us"), piece)
+    pointed = pointed.where("event_us BETWEEN from_us AND to_us").join(ends, list(FINDING))
+    told = pointed.groupBy("event_uid").agg(
+        F.min("start").alias("first_us"), F.max("end").alias("last_us"), F.count("*").alias("findings")
+    )
+    return at.join(told, "event_uid").select(
+        "source_event_id", F.col("scope_id").alias("account_id"), "event_us", "first_us", "last_us", "findings"
+    )
+
+
 @query("""SELECT 'aws.cloudtrail' AS source, count(*) AS records, 0::BIGINT AS violations FROM events
 UNION ALL SELECT 'azure.activity', count(*), 0 FROM events
 UNION ALL SELECT 'azure.entra.signin', count(*), 0 FROM events
