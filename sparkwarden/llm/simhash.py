@@ -162,7 +162,7 @@ def deduplicated(docs: DataFrame, words: int = 5) -> DataFrame:
     narrow = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("digest"))
     prints = kept(shingle_sets.shingle_sets(narrow, words), "prints")
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
-    named = prints.groupBy("fp").agg(F.min(own).alias("own"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    named = prints.groupBy("fp").agg(F.min(own).alias("own"), *(F.first(c).alias(c) for c in ("n", "keys", "sig")))
     distinct = kept(named, "fingerprints")
     roots = components(shingle_sets.links(distinct, narrow, words)).withColumnRenamed("node", "fp")
     rooted = distinct.select("fp", "own").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))

@@ -221,3 +221,31 @@ def test_passages_of_items_without_id_are_cut(spark, block_bytes):
     docs = frame(spark, [(1, f"Keep, {nameless}; and {ITEMS[0][1]} that.")])
     left = decontamination.decontaminated(docs, items, block_bytes=block_bytes)
     assert [(r.text, r.n_chars) for r in left.collect()] == [("Keep, ; and  that.", 18)]
+
+
+def test_documents_that_share_a_passage_make_no_pairs(spark):
+    from sparkwarden.llm import shingle_sets
+
+    passage = sentence(70, 60)
+    apart = [(i, f"{passage} {sentence(1000 + i, 60)}") for i in range(300)]
+    near = [(2000 + i, sentence(71, 200) + f" {sentence(3000 + i, 4)}") for i in range(60)]
+    sets = {i: set(shingle_sets.shingle_set(t.encode(), 5).tolist()) for i, t in apart + near}
+    assert 0.2 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.6
+    docs = frame(spark, apart + near).select("doc_id", "text").withColumn("digest", F.xxhash64("text"))
+    prints = shingle_sets.shingle_sets(docs.withColumn("root", F.col("doc_id")), 5)
+    marked = prints.withColumn("key", F.lit(1)).withColumn("members", F.lit(len(apart + near)))
+    for tile in (7, 512):
+        pairs = shingle_sets.agreeing(marked, tile).distinct().collect()
+        names = {r.fp: r.doc_id for r in prints.collect()}
+        got = {tuple(sorted((names[r.a], names[r.b]))) for r in pairs}
+        want = {(a, b) for a, _ in near for b, _ in near if a < b}
+        similar = {(a, b) for a, b in want if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+        assert similar <= got <= want and len(similar) > 1000
+
+
+def test_one_document_of_each_similar_class_stays(spark):
+    base = [sentence(80 + i, 120) for i in range(20)]
+    rows = [(100 * i + j, t + f" {sentence(500 + 10 * i + j, 3)}") for i, t in enumerate(base) for j in range(6)]
+    rows += [(9000, None), (9001, ""), (9002, " ")]
+    kept = simhash.deduplicated(frame(spark, rows)).select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept) == [100 * i for i in range(20)] + [9000]
