@@ -234,13 +234,23 @@ def test_documents_that_share_a_passage_make_no_pairs(spark):
     docs = frame(spark, apart + near).select("doc_id", "text").withColumn("digest", F.xxhash64("text"))
     prints = shingle_sets.shingle_sets(docs.withColumn("root", F.col("doc_id")), 5)
     marked = prints.withColumn("key", F.lit(1)).withColumn("members", F.lit(len(apart + near)))
+    whole = shingle_sets.shingle_sets(docs, 5, whole=True).select("fp", "hashes")
+    names = {r.fp: r.doc_id for r in prints.collect()}
+    pairs = [(a, b) for a, _ in near for b, _ in near if a < b]
+    similar = [p for p in pairs if len(sets[p[0]] & sets[p[1]]) >= 0.8 * len(sets[p[0]] | sets[p[1]])]
+    assert len(similar) > 1000
     for tile in (7, 512):
-        pairs = shingle_sets.agreeing(marked, tile).distinct().collect()
-        names = {r.fp: r.doc_id for r in prints.collect()}
-        got = {tuple(sorted((names[r.a], names[r.b]))) for r in pairs}
-        want = {(a, b) for a, _ in near for b, _ in near if a < b}
-        similar = {(a, b) for a, b in want if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-        assert similar <= got <= want and len(similar) > 1000
+        members = shingle_sets.tiled(marked, tile)
+        met = {names[r.fp] for r in shingle_sets.agreeing(members).collect()}
+        assert {i for p in similar for i in p} <= met <= {i for i, _ in near}
+        links = [(names[r.a], names[r.b]) for r in shingle_sets.confirmed(members, whole).collect()]
+        assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in links)
+        joined = {i: i for i, _ in near}  # the links connect what the similar pairs connect
+        for a, b in links:
+            old, new = joined[a], joined[b]
+            joined = {i: new if r == old else r for i, r in joined.items()}
+        assert all(joined[a] == joined[b] for a, b in similar)
+        assert len(links) < 2000 if tile == 7 else len(links) < len(near)
 
 
 def test_one_document_of_each_similar_class_stays(spark):
