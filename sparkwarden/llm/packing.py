@@ -151,7 +151,7 @@ def pack(
     counts = {r["length"]: r["count"] for r in histogram}
     whole = items.where(F.col("length") >= capacity).select(
         *columns,
-        F.col("row").alias("sequence_id"),
+        F.bitwise_not("row").alias("sequence_id"),  # below zero, packed ones above
         F.lit(0).cast("long").alias("offset"),
         F.col("length").alias("fill"),
     )

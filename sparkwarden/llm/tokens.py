@@ -28,9 +28,12 @@ from tokenizers import Tokenizer  # noqa: E402
 CUT = re.compile(r" (?=[!-~À-ɏ])|(?<=[!-~À-ɏ])(?=\n[!-~À-ɏ])")
 # A blank that may not be cut at; without one, splitting at all blanks gives the same.
 KEPT = re.compile(r"[ \n](?![!-~À-ɏ])|(?<![!-~À-ɏ])\n")
+# UTF-8 bytes of visible ASCII, of letters from À to ȿ, of blanks and newlines.
+USUAL = bytes([0x0A, *range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC3, 0xC9)])
+LETTERS = [c for c in map(chr, range(0x41, 0x250)) if c.isalpha() and (c.isascii() or c >= "À")]
 SPLIT = "|"
 MARKS = ".,;:!?*&$%#"
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 500_000  # in two halves, the recently used words and those before
 TEXT_BYTES = 4 << 20  # texts that are split at a time
 JOINED = 1_000  # distinct words that are encoded by one call
 
@@ -44,10 +47,76 @@ def _latin(text: str) -> bool:
     return True
 
 
+def _simple(text: str) -> bool:
+    """Whether every blank and newline may be cut at, told without a search by pattern."""
+    try:
+        if text.encode().translate(None, USUAL):
+            return not KEPT.search(text)
+    except UnicodeEncodeError:  # half a surrogate pair
+        return not KEPT.search(text)
+    odd = ("  ", " \n", "\n ", "\n\n")
+    return not (text[0] == "\n" or text[-1] in " \n" or any(pair in text for pair in odd))
+
+
 def _packed(ids) -> bytes:
     return np.array(ids, dtype="<u4").tobytes()
 
 
+class LetterWords:
+    """Ids of words of Latin letters by the library's model alone.
+
+    How the library spells a letter, and what it puts before a word behind a blank or a
+    newline, is asked of its normaliser and pre-tokenizer once. ``pattern`` is None where
+    such a word is not one piece whose letters are spelled alike in any place."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenize = tokenizer.model.tokenize
+        self.pattern, self.spelling, self.leads = None, {}, {}
+        normal = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
+        if tokenizer.pre_tokenizer is None:
+            return
+        split = tokenizer.pre_tokenizer.pre_tokenize_str
+
+        def pieces(text: str) -> list[str]:
+            return [piece for piece, _ in split(normal(text))]
+
+        bare = {c: pieces(c) for c in LETTERS}
+        spelled = {c: p[0] for c, p in bare.items() if len(p) == 1}
+        if not spelled:
+            return
+        letters = "".join(spelled)
+        for probe in (letters, letters[::-1], "".join(c + c for c in letters)):
+            word = "".join(map(spelled.get, probe))
+            for lead in ("", " ", "\n"):
+                *before, last = pieces(lead + probe)
+                prefix = last.removesuffix(word)
+                if prefix + word != last or self.leads.setdefault(lead, (before, prefix)) != (before, prefix):
+                    return
+        self.spelling = str.maketrans(spelled)
+        self.leads = {
+            lead: ([t.id for piece in before for t in self.tokenize(piece)], prefix)
+            for lead, (before, prefix) in self.leads.items()
+        }
+        self.pattern = re.compile(f"\n?[{letters}]+")
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """Words that ``pattern`` matches whole, behind a blank unless they start with a newline."""
+        ids, ends = [], []
+        tokenize, spelling = self.tokenize, self.spelling
+        (blank_ids, blank), (line_ids, line) = self.leads[" "], self.leads["\n"]
+        for word in words:
+            if word[0] == "\n":
+                ids += line_ids
+                spelled = line + word[1:].translate(spelling)
+            else:
+                ids += blank_ids
+                spelled = blank + word.translate(spelling)
+            ids += [token.id for token in tokenize(spelled)]
+            ends.append(4 * len(ids))
+        raw = _packed(ids)
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class WordCachedEncoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes,
     equal to ``Tokenizer.encode(text, add_special_tokens=False)``."""
@@ -59,6 +128,8 @@ class WordCachedEncoder:
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.special = tuple(token.content for token in added)
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.letters = LetterWords(self.tokenizer)
         self.folds = "Lowercase" in str(self.tokenizer.normalizer)
         self.tails: dict[str, bytes] = {}
         marks = self._ids([f"a {SPLIT} b"])[0]
@@ -71,23 +142,30 @@ class WordCachedEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        """Store the ids of new words. Punctuation behind a letter is a piece of its own
+        """Store the ids of new words. Punctuation behind a letter (lower-cased: one that no
+        mark follows) is a piece of its own
         in any context, so a known word with new marks behind it needs no encoding."""
-        stored, cores, wanted = self.words, [], []
-        for word in words:
-            core = word.rstrip(MARKS)
-            if len(core) != len(word) and core[-1:].isalpha():
-                cores.append((word, core))
-            else:
-                wanted.append(word)
-        bare = {core for _, core in cores}.difference(stored)
-        self._encode([*wanted, *bare.difference(wanted)])
+        stored = self.words
+        cores = [(w, w.rstrip(MARKS)) for w in words if w and w[-1] in MARKS]
+        cores = [(word, core) for word, core in cores if core[-1:].lower().isalpha()]
+        wanted = set(words).difference([word for word, _ in cores])
+        wanted |= self._unknown({core for _, core in cores})
+        spelled = list(filter(self.letters.pattern.fullmatch, wanted)) if self.letters.pattern else []
+        stored.update(zip(spelled, self.letters.encode(spelled)) if spelled else ())
+        self._encode(list(wanted.difference(spelled)))
         tails = self.tails
         new = list({word[len(core) :] for word, core in cores}.difference(tails))
         tails.update(zip(new, map(_packed, self._ids(new))))
         for word, core in cores:
             stored[word] = stored[core] + tails[word[len(core) :]]
 
+    def _unknown(self, words: set[str]) -> set[str]:
+        """The words that no table holds; those of the older one move to the recent one."""
+        new = words.difference(self.words)
+        again = new.intersection(self.older)
+        self.words.update(zip(again, map(self.older.__getitem__, again)))
+        return new.difference(again)
+
     def _encode(self, words: list[str]) -> None:
         """Many words by one call: joined by a mark that is one token between spaces."""
         plain = [w for w in words if SPLIT not in w] if self.mark is not None else []
@@ -110,9 +188,9 @@ class WordCachedEncoder:
         """The text cut into its first word and the others, those without their space."""
         if self.folds and (text.isascii() or _latin(text)):
             text = text.lower()  # as the library would, so that fewer words differ
-        if KEPT.search(text):
-            return CUT.split(text)
-        return text.replace("\n", " \n").split(" ")
+        if _simple(text):
+            return text.replace("\n", " \n").split(" ")
+        return CUT.split(text)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Null counts as empty."""
@@ -125,12 +203,10 @@ class WordCachedEncoder:
         heads = self._ids([p[0] for p in parts])
         tails = [p[1:] for p in parts]
         distinct = set().union(*tails)
-        missing = list(distinct.difference(self.words))
-        if len(self.words) + len(missing) > CACHE_ENTRIES:
-            self.words.clear()
+        if 2 * len(self.words) > CACHE_ENTRIES:
+            self.words, self.older = {}, self.words
             self.tails.clear()
-            missing = list(distinct)
-        self._learn(missing)
+        self._learn(list(self._unknown(distinct)))
         # The words of these texts in a small table: most lookups are of few words.
         keys = list(distinct)
         get = dict(zip(keys, map(self.words.__getitem__, keys))).__getitem__

@@ -14,7 +14,8 @@ from tokenizers import Tokenizer
 from llm.cases import DOCUMENTS, frame, rows_of
 from sparkwarden.llm import packing, token_files
 from sparkwarden.llm.token_counts import count_tokens, stored_counts, tokenizer_version
-from sparkwarden.llm.tokens import encoder
+from sparkwarden.llm import tokens
+from sparkwarden.llm.tokens import LETTERS, WordCachedEncoder, encoder
 from sparkwarden.shared import new_folder
 
 WORD, BYTE, PIECE = (
@@ -39,6 +40,21 @@ def test_cached_encoding_equals_the_library(path):
         assert np.frombuffer(raw, "<u4").tolist() == want, text
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_letter_words_and_full_tables(path, monkeypatch):
+    """Words of any Latin letters go to the model alone, and tables that overflow lose nothing."""
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 40)
+    library, cached = Tokenizer.from_file(path), WordCachedEncoder(path)
+    assert cached.letters.pattern
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(LETTERS, n)) for n in rng.integers(1, 12, 300)] + LETTERS
+    for _ in range(20):
+        texts = [join.join(rng.choice(words, 30)) + end for join in (" ", "\n", ", ", ".\n", "  ") for end in ("", " ", "\n", "!")]
+        assert cached.encode(texts) == [
+            np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts
+        ]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=" \n\t|.,ab'É́ 9<>endoftext", max_size=40))
 def test_cached_encoding_on_any_text(text):
