@@ -30,6 +30,20 @@ class Instant:
     refused: Column  # text present but not acceptable
 
 
+def extended(text: Column) -> Column:
+    """ISO 8601 basic forms (``20250203T120000Z``, zones ``+0000`` and ``+00``) written out
+    as ``ISO_ZONED`` wants them, with the seconds that Spark's cast needs; any other text
+    stays as it is."""
+    day = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})(?=[T ])", "$1-$2-$3")
+    head, zone = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})", r"(?=Z\z|[+-][\d:]+\z)"
+    clock = F.regexp_replace(day, head + r"(\d{2})(\d{2}(?:\.\d+)?)" + zone, "$1:$2:$3")
+    clock = F.regexp_replace(clock, head + r":?(\d{2})" + zone, "$1:$2:00")
+    zoned = F.regexp_replace(clock, r"(:[\d.]+[+-]\d{2})(\d{2})\z", "$1:$2")
+    zoned = F.regexp_replace(zoned, r"(:[\d.]+[+-]\d{2})\z", "$1:00")
+    usual = text.rlike(r"^.{10}[T ]\d{2}:\d{2}:") & text.rlike(ISO_ZONED)
+    return F.when(usual, text).otherwise(zoned)
+
+
 def instant(text: Column, pattern: str = RFC3339, keep_nanos: bool = True) -> Instant:
     shaped = text.rlike(pattern)
     time = F.when(shaped, F.try_to_timestamp(text))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkwarden.functions.identity import IDENTITY_TAG, raw_uid
-from sparkwarden.functions.instants import ISO_ZONED, instant
+from sparkwarden.functions.instants import ISO_ZONED, extended, instant
 from sparkwarden.functions.json_access import (
     boolean_at,
     loose_text,
@@ -31,7 +31,7 @@ REFERENCE_FIELDS = ("groupId", "userName", "roleName", "name", "policyArn")
 def normalize_cloudtrail(records: DataFrame, tag: str = IDENTITY_TAG) -> DataFrame:
     keep = [c for c in records.columns if c != "record"]
     r = F.col("record")
-    stamp = instant(text_at(r, "$.eventTime"), ISO_ZONED, keep_nanos=False)
+    stamp = instant(extended(text_at(r, "$.eventTime")), ISO_ZONED, keep_nanos=False)
     address = text_at(r, "$.sourceIPAddress")
     staged = prepared(
         records,

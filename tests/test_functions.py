@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sparkwarden.functions.instants import ISO_ZONED, epoch_nanos, instant
+from sparkwarden.functions.instants import ISO_ZONED, epoch_nanos, extended, instant
 from sparkwarden.functions.json_access import (
     boolean_at,
     canonical_json,
@@ -49,6 +49,22 @@ def test_canonical_text_sorts_and_keeps_the_last_duplicate(spark):
     )
 
 
+def test_basic_forms_of_instants(spark):
+    same = ["2025-02-03T12:30:15Z", "20250203T123015Z", "2025-02-03T12:30:15+0000", "2025-02-03 12:30:15+00",
+            "20250203T143015+0200", "20250203T113015-01", "2025-02-03T123015+00:00"]
+    other = {"20250203T123015.25Z": 250_000, "20250203T1230Z": -15_000_000, "2025-02-03T12:30+00": -15_000_000,
+             "2025-02-03 12:30Z": -15_000_000, "2025-02-03T13:30+01:00": -15_000_000}
+    refused = ["2025-02-03", "20250203", "20250203T123015", "2025-02-03T12:30:15", "20251303T123015Z", "x+0000", "", "12:30+00"]
+    rows = spark.createDataFrame([(t,) for t in [*same, *other, *refused, None]], "t string")
+    stamp = instant(extended(F.col("t")), ISO_ZONED, keep_nanos=False)
+    found = {r.t: (r.us, r.refused) for r in rows.select("t", F.unix_micros(stamp.time).alias("us"), stamp.refused.alias("refused")).collect()}
+    base = 1_738_585_815_000_000
+    assert [found[t] for t in same] == [(base, False)] * len(same)
+    assert {t: found[t] for t in other} == {t: (base + more, False) for t, more in other.items()}
+    assert [found[t] for t in refused] == [(None, True)] * len(refused)
+    assert found[None] == (None, False)
+
+
 def test_instants(spark):
     cases = {
         "2024-01-01T00:00:00Z": 1704067200000000000,
