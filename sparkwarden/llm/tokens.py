@@ -1,26 +1,26 @@
 """Token ids of whole texts, by the tokenizers library, one Python worker at a time.
 
 Natural text repeats its words, so a worker asks the library once per distinct
-word and joins the stored ids. That is exact because a text is only cut where the
+word and joins the stored ids: a text costs a lookup per word. That is exact because a text is only cut where the
 library's own splitting has a border in any context:
 
 * before a single space that is followed by a visible ASCII or Latin character, and
 * before a newline between two visible characters.
 
 Neither byte-level nor word-end BPE merges across such a border, white space runs
-are never divided, and NFC or lower-casing does not look across it. A text that
-holds a special token's string is encoded in one piece, since the library cuts such
-a text elsewhere.
+are never divided, and NFC or lower-casing does not look across it. Commas and full
+stops behind a letter and before a blank are pieces of their own. A text that holds a
+special token's string is encoded in one piece, since the library cuts such a text
+elsewhere, and so is one that holds a null character, our sign for a mark cut off.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import lru_cache
 
-import numpy as np
-
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark provides the parallelism
 
 from tokenizers import Tokenizer  # noqa: E402
@@ -31,11 +31,12 @@ KEPT = re.compile(r"[ \n](?![!-~À-ɏ])|(?<![!-~À-ɏ])\n")
 # UTF-8 bytes of visible ASCII, of letters from À to ȿ, of blanks and newlines.
 USUAL = bytes([0x0A, *range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC3, 0xC9)])
 LETTERS = [c for c in map(chr, range(0x41, 0x250)) if c.isalpha() and (c.isascii() or c >= "À")]
-SPLIT = "|"
 MARKS = ".,;:!?*&$%#"
-CACHE_ENTRIES = 500_000  # in two halves, the recently used words and those before
-TEXT_BYTES = 4 << 20  # texts that are split at a time
-JOINED = 1_000  # distinct words that are encoded by one call
+STOPS = (", ", ". ")  # after a letter they are cut off, so that fewer words differ
+CUT_OFF = "\0"  # stands before a mark that was cut off
+CACHE_ENTRIES = 800_000  # in two halves, the recently used words and those before
+STORED = 100  # characters of the longest words that are stored
+TEXT_BYTES = 4 << 20  # texts that are encoded at a time
 
 
 def _latin(text: str) -> bool:
@@ -58,20 +59,32 @@ def _simple(text: str) -> bool:
     return not (text[0] == "\n" or text[-1] in " \n" or any(pair in text for pair in odd))
 
 
-def _packed(ids) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+def _stops_apart(text: str) -> str:
+    """Marks that are pieces of their own (see ``WordTable``) as words with a sign before."""
+    for stop in STOPS:
+        parts = text.split(stop)
+        apart, last = f" {CUT_OFF}{stop}", parts.pop()
+        if all([part[-1:].lower().isalpha() for part in parts]):
+            text = apart.join([*parts, last])
+        else:
+            text = "".join([part + (apart if part[-1:].lower().isalpha() else stop) for part in parts]) + last
+    return text
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class LetterWords:
     """Ids of words of Latin letters by the library's model alone.
 
-    How the library spells a letter, and what it puts before a word behind a blank or a
-    newline, is asked of its normaliser and pre-tokenizer once. ``pattern`` is None where
-    such a word is not one piece whose letters are spelled alike in any place."""
+    How the library spells a letter, and what it puts before a word behind nothing, a blank
+    or a newline, is asked of its normaliser and pre-tokenizer once. ``pattern`` is None
+    where such a word is not one piece whose letters are spelled alike in any place."""
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokenize = tokenizer.model.tokenize
-        self.pattern, self.spelling, self.leads = None, {}, {}
+        self.pattern, self.spelling, self.leads, self.plain = None, {}, {}, False
         normal = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
         if tokenizer.pre_tokenizer is None:
             return
@@ -94,27 +107,65 @@ class LetterWords:
                     return
         self.spelling = str.maketrans(spelled)
         self.leads = {
-            lead: ([t.id for piece in before for t in self.tokenize(piece)], prefix)
+            lead: (b"".join(_packed([t.id for t in self.tokenize(piece)]) for piece in before), prefix)
             for lead, (before, prefix) in self.leads.items()
         }
-        self.pattern = re.compile(f"\n?[{letters}]+")
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        """Words that ``pattern`` matches whole, behind a blank unless they start with a newline."""
-        ids, ends = [], []
-        tokenize, spelling = self.tokenize, self.spelling
-        (blank_ids, blank), (line_ids, line) = self.leads[" "], self.leads["\n"]
-        for word in words:
-            if word[0] == "\n":
-                ids += line_ids
-                spelled = line + word[1:].translate(spelling)
-            else:
-                ids += blank_ids
-                spelled = blank + word.translate(spelling)
-            ids += [token.id for token in tokenize(spelled)]
-            ends.append(4 * len(ids))
-        raw = _packed(ids)
-        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+        # Whether lower-case ASCII letters stand for themselves.
+        self.plain = all(spelled.get(c) == c for c in map(chr, range(0x80)) if c.islower())
+        self.pattern = re.compile(f"[{letters}]+")
+
+    def encode(self, lead: str, word: str) -> bytes:
+        """A word that ``pattern`` matches whole, behind ``lead``."""
+        before, prefix = self.leads[lead]
+        spelled = word if self.plain and word.isascii() and word.islower() else word.translate(self.spelling)
+        return before + _packed([token.id for token in self.tokenize(prefix + spelled)])
+
+
+class WordTable(dict):
+    """Ids of the words behind ``lead`` (a blank, or nothing for the first word of a text),
+    packed; a word that starts with a newline has no lead. New words are encoded when they
+    are looked up."""
+
+    def __init__(self, tokenizer: Tokenizer, letters: LetterWords, lead: str):
+        super().__init__()
+        self.tokenizer, self.letters, self.lead = tokenizer, letters, lead
+        self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self._encoded(word)
+        if len(word) <= STORED:
+            self[word] = ids
+        return ids
+
+    def _encoded(self, word: str) -> bytes:
+        """Punctuation behind a letter (lower-cased: one that no mark follows) is a piece of
+        its own in any context, so new marks behind a known word need no encoding of it."""
+        if word[:1] == CUT_OFF:
+            return _packed(self.tokenizer.encode(word[1:], add_special_tokens=False).ids)
+        core = word.rstrip(MARKS)
+        if len(core) < len(word) and core[-1:].lower().isalpha():
+            marks = word[len(core) :]
+            if marks not in self.marks:
+                ids = _packed(self.tokenizer.encode(marks, add_special_tokens=False).ids)
+                if len(marks) > STORED:
+                    return self[core] + ids
+                self.marks[marks] = ids
+            return self[core] + self.marks[marks]
+        lead, letters = ("\n", word[1:]) if word[:1] == "\n" else (self.lead, word)
+        if self.letters.pattern and self.letters.pattern.fullmatch(letters):
+            return self.letters.encode(lead, letters)
+        return _packed(self.tokenizer.encode(lead + letters, add_special_tokens=False).ids)
+
+    def trim(self, entries: int) -> None:
+        """Let go of the words not used lately where the table has half of ``entries``."""
+        if 2 * len(self) > entries:
+            self.older = dict(self)
+            self.clear()
+        if 2 * len(self.marks) > entries:
+            self.marks.clear()
 
 
 class WordCachedEncoder:
@@ -126,93 +177,30 @@ class WordCachedEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         added = self.tokenizer.get_added_tokens_decoder().values()
-        self.special = tuple(token.content for token in added)
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.whole = (*(token.content for token in added), CUT_OFF)
         self.letters = LetterWords(self.tokenizer)
+        self.first, self.others = (WordTable(self.tokenizer, self.letters, lead) for lead in ("", " "))
         self.folds = "Lowercase" in str(self.tokenizer.normalizer)
-        self.tails: dict[str, bytes] = {}
-        marks = self._ids([f"a {SPLIT} b"])[0]
-        alone = self._ids([f" {SPLIT}"])[0]
-        # The mark must be one token wherever it stands between spaces.
-        usable = len(alone) == 1 and list(marks).count(alone[0]) == 1
-        self.mark = alone[0] if usable else None
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Store the ids of new words. Punctuation behind a letter (lower-cased: one that no
-        mark follows) is a piece of its own
-        in any context, so a known word with new marks behind it needs no encoding."""
-        stored = self.words
-        cores = [(w, w.rstrip(MARKS)) for w in words if w and w[-1] in MARKS]
-        cores = [(word, core) for word, core in cores if core[-1:].lower().isalpha()]
-        wanted = set(words).difference([word for word, _ in cores])
-        wanted |= self._unknown({core for _, core in cores})
-        spelled = list(filter(self.letters.pattern.fullmatch, wanted)) if self.letters.pattern else []
-        stored.update(zip(spelled, self.letters.encode(spelled)) if spelled else ())
-        self._encode(list(wanted.difference(spelled)))
-        tails = self.tails
-        new = list({word[len(core) :] for word, core in cores}.difference(tails))
-        tails.update(zip(new, map(_packed, self._ids(new))))
-        for word, core in cores:
-            stored[word] = stored[core] + tails[word[len(core) :]]
-
-    def _unknown(self, words: set[str]) -> set[str]:
-        """The words that no table holds; those of the older one move to the recent one."""
-        new = words.difference(self.words)
-        again = new.intersection(self.older)
-        self.words.update(zip(again, map(self.older.__getitem__, again)))
-        return new.difference(again)
-
-    def _encode(self, words: list[str]) -> None:
-        """Many words by one call: joined by a mark that is one token between spaces."""
-        plain = [w for w in words if SPLIT not in w] if self.mark is not None else []
-        alone = [w for w in words if SPLIT in w] if self.mark is not None else words
-        for at in range(0, len(plain), JOINED):
-            group = plain[at : at + JOINED]
-            text = "".join([w + " |" if w[0] == "\n" else f" {w} |" for w in group])
-            ids = np.array(self._ids([text])[0], dtype="<u4")
-            ends = (4 * np.flatnonzero(ids == self.mark)).tolist()
-            if len(ends) != len(group):  # a word whose own ids hold the mark
-                alone = alone + group
-                continue
-            raw = ids.tobytes()
-            starts = [0, *(end + 4 for end in ends)]
-            self.words.update(zip(group, [raw[a:b] for a, b in zip(starts, ends)]))
-        spelled = [w if w[0] == "\n" else f" {w}" for w in alone]
-        self.words.update(zip(alone, map(_packed, self._ids(spelled))))
 
     def _parts(self, text: str) -> list[str]:
         """The text cut into its first word and the others, those without their space."""
         if self.folds and (text.isascii() or _latin(text)):
             text = text.lower()  # as the library would, so that fewer words differ
         if _simple(text):
-            return text.replace("\n", " \n").split(" ")
+            return _stops_apart(text.replace("\n", " \n")).split(" ")
         return CUT.split(text)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Null counts as empty."""
-        cuttable = [i for i, t in enumerate(texts) if t and not any(s in t for s in self.special)]
-        whole = [i for i, t in enumerate(texts) if t and any(s in t for s in self.special)]
-        out: list[bytes] = [b""] * len(texts)
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
-            out[i] = _packed(ids)
-        parts = [self._parts(texts[i]) for i in cuttable]
-        heads = self._ids([p[0] for p in parts])
-        tails = [p[1:] for p in parts]
-        distinct = set().union(*tails)
-        if 2 * len(self.words) > CACHE_ENTRIES:
-            self.words, self.older = {}, self.words
-            self.tails.clear()
-        self._learn(list(self._unknown(distinct)))
-        # The words of these texts in a small table: most lookups are of few words.
-        keys = list(distinct)
-        get = dict(zip(keys, map(self.words.__getitem__, keys))).__getitem__
-        for i, head, tail in zip(cuttable, heads, tails):
-            out[i] = _packed(head) + b"".join(map(get, tail))
-        return out
+        for table in (self.first, self.others):
+            table.trim(CACHE_ENTRIES)
+        return [self._one(text) if text else b"" for text in texts]
+
+    def _one(self, text: str) -> bytes:
+        if any(string in text for string in self.whole):
+            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        words = iter(self._parts(text))
+        return b"".join([self.first[next(words)], *map(self.others.__getitem__, words)])
 
 
 @lru_cache(maxsize=4)

@@ -55,8 +55,24 @@ def test_letter_words_and_full_tables(path, monkeypatch):
         ]
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_stops_nulls_and_long_words(path):
+    """Marks are cut off behind letters only; a null character and long words change nothing."""
+    library, cached = Tokenizer.from_file(path), WordCachedEncoder(path)
+    long = "ab" * 5_000
+    texts = [
+        "a, b. c", "a , b .c", "3, b. c), d", "a., b,. c", "a,\nb.\nc, ", "., ", ", a", "İ, é. ß, x",
+        "a \0, b", "a\0, b. c", "\0", f"{long}, {long}. {long}{'!' * 300} {long}{'!' * 300}", f"{long}",
+    ]
+    for _ in range(2):  # the second time from the tables
+        assert cached.encode(texts) == [
+            np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts
+        ]
+    assert max(map(len, [*cached.first, *cached.others])) <= tokens.STORED
+
+
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=" \n\t|.,ab'É́ 9<>endoftext", max_size=40))
+@given(st.text(alphabet=" \n\t\0|.,ab'É́ 9<>endoftext", max_size=40))
 def test_cached_encoding_on_any_text(text):
     for path in (WORD, BYTE):
         want = encoder(path).tokenizer.encode(text, add_special_tokens=False).ids
