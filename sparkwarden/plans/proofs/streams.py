@@ -3,7 +3,7 @@
 A delivery comes up to an hour of squeezed or plain time after its event, some come twice,
 and files are written in order of arrival, so neither files nor rows are in order of time.
 Spark moves filters below a watermark, which therefore moves with the rows a rule reads;
-where results wait for it, the same activity follows once more, long after.
+where results wait for it, the same activity (of much, a part) follows once more, long after.
 """
 
 from __future__ import annotations
@@ -25,18 +25,24 @@ SLICES = 3
 LATEST = 3600  # seconds between an event and its delivery
 LATER_DAYS = 400
 SECOND_US = 1_000_000
+PER_FILE = 25_000  # deliveries
+CLOSING = 20_000  # rows, about, that follow to move the watermark
+UNREAD = ("raw", "extensions", "resources", "authentication", "privilege_context", "quality")  # by no rule
 
 
-def feed(spark: SparkSession, events: DataFrame, *, closing: bool = False, files: int = 2) -> tuple[DataFrame, str]:
+def feed(spark: SparkSession, events: DataFrame, *, closing: bool = False) -> tuple[DataFrame, str]:
     """``events`` (event_uid, event_time, event_ns) as a stream of deliveries, and the delay
-    that covers them."""
+    that covers them. Each slice is a micro-batch, of as many files as its rows need."""
+    events = events.drop(*UNREAD)
     lot = F.pmod(F.xxhash64("event_uid"), F.lit(LATEST))
     arrival = F.coalesce(F.unix_micros("event_time"), F.lit(0)) + lot * SECOND_US
     first = events.withColumn("delivery", F.lit(1)).withColumn("arrival", arrival)
     again = first.where(lot % 7 == 0).withColumn("delivery", F.lit(2))
     again = again.withColumn("arrival", F.unix_micros("event_time") + LATEST * SECOND_US)
     rows = first.unionByName(again)
-    low, high = first.where("event_time IS NOT NULL").agg(F.min("arrival"), F.max("arrival")).first()
+    known = F.when(F.col("event_time").isNotNull(), F.col("arrival"))
+    low, high, count = first.agg(F.min(known), F.max(known), F.count("*")).first()
+    files = max(2, -(-count // (SLICES * PER_FILE)))
     low, width = low or 0, ((high or 0) - (low or 0)) // SLICES + 1
     path = new_folder(spark, "feed")
     number = F.least(F.greatest(F.call_function("div", F.col("arrival") - low, F.lit(width)), F.lit(0)), F.lit(SLICES - 1))
@@ -46,10 +52,12 @@ def feed(spark: SparkSession, events: DataFrame, *, closing: bool = False, files
     if closing:
         moved = F.col("event_time") + F.expr(f"INTERVAL '{LATER_DAYS}' DAY")
         ns = F.col("event_ns") + LATER_DAYS * 86_400 * 1_000_000_000
-        late = events.where("event_time IS NOT NULL").withColumns(
+        # These only move the watermark, so that their number need not grow with the events.
+        some = F.pmod(F.xxhash64("event_uid"), F.lit(max(1, count // CLOSING))) == 0
+        late = events.where("event_time IS NOT NULL").where(some).withColumns(
             {"event_time": moved, "event_ns": ns, "event_uid": F.concat(F.lit("later-"), "event_uid"), "delivery": F.lit(1)}
         )
-        late.repartition(files).write.mode("append").parquet(path)
+        late.repartition(2).write.mode("append").parquet(path)
     schema = spark.read.schema(rows.drop("arrival").schema).parquet(path).schema
     delay = (width // SECOND_US) + LATEST + 1
     return event_feed(spark, path, schema, files), f"{delay} seconds"

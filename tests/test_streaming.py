@@ -2,6 +2,7 @@
 
 import random
 from datetime import datetime, timedelta, timezone
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +126,24 @@ def test_no_pair_meets_two_blockers(spark):
     kept = absent_between(pairs, blockers, {"k": "key"}, 10_000, start="s", end="e")
     assert "Join" not in kept._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r.s for r in kept.collect()) == [s for s in range(0, 2000, 10) if s + 5 <= 1000]
+
+
+def test_feed_grows_in_files_not_in_rows_and_columns_nobody_reads(spark, monkeypatch):
+    from sparkwarden.plans import table_logs
+    from sparkwarden.plans.proofs import streams
+
+    sf_dir = "/root/testdata/sf0.001"
+    if not Path(sf_dir).exists():
+        pytest.skip("test tables not mounted")
+    monkeypatch.setattr(table_logs, "PER_TASK", 100)
+    assert table_logs.activity(spark, sf_dir).rdd.getNumPartitions() == 10  # of 1000 rows
+    monkeypatch.setattr(streams, "PER_FILE", 50)
+    monkeypatch.setattr(streams, "CLOSING", 100)
+    plain = streams._plain(spark, sf_dir)
+    events, _ = streams.feed(spark, plain.withColumn("raw", F.lit("wide")), closing=True)
+    assert "raw" not in events.columns
+    rows = caught_up(events.where("delivery = 1").select("event_uid", F.col("_metadata.file_path").alias("file")), "feed-rows")
+    later = F.col("event_uid").startswith("later-")
+    assert rows.where(~later).count() == plain.count()
+    assert 0 < rows.where(later).count() < plain.count() // 2
+    assert rows.where(~later).select("file").distinct().count() > 6
