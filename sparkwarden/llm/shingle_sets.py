@@ -2,7 +2,7 @@
 
 Candidates meet where one of ``BANDS`` bands of ``ROWS`` minimum hashes is equal: a pair at
 0.8 has about 3 in a million to meet nowhere, a more similar one less. First each set is
-compared with the smallest of its groups only. What that leaves in different components
+compared with the smallest of its groups and with what SimHash puts next to it. What that leaves in different components
 of a group is looked through by signatures, one byte of each minimum hash; a pair at 0.8
 agrees in fewer than ``AGREE`` of them about once in a million. Members that agree with
 another one go on with their whole sets, and agreeing pairs are compared exactly. Both
@@ -63,9 +63,19 @@ def band_keys(hashes: np.ndarray) -> tuple[np.ndarray, bytes]:
     return np.array(keys, dtype=np.uint64).view(np.int64), low.astype(np.uint8).tobytes()
 
 
+def simhash_of(hashes: np.ndarray) -> int:
+    """The SimHash of a set as a signed long: a bit is set when over half of the hashes have it."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        table = hashes[at : at + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(table, axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
+
+
 def shingle_sets(docs: DataFrame, words: int, whole: bool = False) -> DataFrame:
     """``docs`` without its text, plus ``fp`` (name of the set), ``n`` (its size) and the
-    band ``keys`` with the signature ``sig``, or with ``whole`` its ``hashes`` instead."""
+    band ``keys`` with the signature ``sig`` and the SimHash ``print``, or with ``whole`` its
+    ``hashes`` instead."""
     names = [c for c in docs.columns if c != "text"]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,10 +89,11 @@ def shingle_sets(docs: DataFrame, words: int, whole: bool = False) -> DataFrame:
             else:
                 keys, marks = zip(*(band_keys(s) for s in sets))
                 last = {"keys": pa.array(keys, pa.list_(pa.int64())), "sig": pa.array(marks, pa.binary())}
+                last["print"] = pa.array([simhash_of(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([*columns, *last.values()], [*names, "fp", "n", *last])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name != "text")
-    result = f"{fields}fp long, n int, " + ("hashes array<long>" if whole else "keys array<long>, sig binary")
+    result = f"{fields}fp long, n int, " + ("hashes array<long>" if whole else "keys array<long>, sig binary, print long")
     return docs.withColumn("text", F.col("text").cast("binary")).mapInArrow(hashed, result)
 
 
@@ -105,17 +116,19 @@ def candidate_sets(met: DataFrame, distinct: DataFrame, docs: DataFrame, words:
     return shingle_sets(wanted, words, whole=True).groupBy("fp").agg(F.first("hashes").alias("hashes"))
 
 
-def links(distinct: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+def links(distinct: DataFrame, docs: DataFrame, words: int, close: DataFrame) -> DataFrame:
     """Edges (a, b) that connect all sets of every class; ``distinct`` (stored) has each
-    set once in fp with n, keys and own (doc_id and digest of a row of ``docs``)."""
+    set once in fp with n, keys and own (doc_id and digest of a row of ``docs``). Pairs
+    (a, b) in ``close`` (stored), found by SimHash, are compared exactly with the first ones."""
     keyed = distinct.select("fp", "n", F.explode("keys").alias("key"))
     smallest = keyed.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("members")).where("members > 1").drop("members")
     met = kept(keyed.join(smallest, "key"), "candidates")
-    sets = kept(candidate_sets(met, distinct, docs, words), "sets")
+    named = met.select("fp").unionByName(close.select(F.explode(F.array("a", "b")).alias("fp")))
+    sets = kept(candidate_sets(named, distinct, docs, words), "sets")
     sizes = met.select(F.col("fp").alias("a"), F.col("n").alias("m")).distinct()
     near = F.least("n", "m") * 5 >= F.greatest("n", "m") * 4
     first = met.where("fp <> a").select("a", F.col("fp").alias("b"), "n").distinct().join(sizes, "a").where(near)
-    first = kept(first.select("a", "b"), "first-pairs")
+    first = kept(first.select("a", "b").unionByName(close).distinct(), "first-pairs")
     linked = kept(similar(first, sets), "first-links")
     roots = components(linked).withColumnRenamed("node", "fp")
     placed = kept(met.join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root")), "placed")

@@ -150,21 +150,37 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, shared: in
     )
 
 
+def close_sets(distinct: DataFrame, radius: int = 4, shared: int = 2) -> DataFrame:
+    """Pairs (a, b) of sets, a < b, that connect the sets in each class of fingerprints: from
+    ``links`` between different fingerprints (``print``), one set each, and from equal ones.
+    ``distinct`` has each set once in ``fp`` with its size ``n``; empty sets take no part."""
+    sets = distinct.where("n > 0").select("fp", "print")
+    owners = kept(sets.groupBy("print").agg(F.min("fp").alias("own")), "prints-of-sets")
+    stars = links(owners.select(F.col("print").alias("fp")), radius, shared).distinct()
+    far = stars.join(owners.toDF("a", "x"), "a").join(owners.toDF("b", "y"), "b")
+    equal = sets.join(owners, "print").where("fp <> own").select(F.col("own").alias("x"), F.col("fp").alias("y"))
+    pairs = far.select("x", "y").unionByName(equal)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def deduplicated(docs: DataFrame, words: int = 5) -> DataFrame:
     """``docs`` with one row of each class: the one with the smallest doc_id (null ids
     last), among equal ids the one with the smallest hash of its text. Rows stay as they
     were.
 
     Classes are the components of the links between documents whose sets of five-word
-    shingles have a Jaccard similarity of at least 0.8 (``shingle_sets``); documents
-    without words are one class."""
+    shingles have a Jaccard similarity of at least 0.8. Candidates are what the bit-sliced
+    SimHash of the sets links (``close_sets``) and, as that misses many pairs at 0.8, what
+    meets in ``shingle_sets`` besides; all are compared exactly. Documents without words are
+    one class."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     narrow = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("digest"))
     prints = kept(shingle_sets.shingle_sets(narrow, words), "prints")
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
-    named = prints.groupBy("fp").agg(F.min(own).alias("own"), *(F.first(c).alias(c) for c in ("n", "keys", "sig")))
+    named = prints.groupBy("fp").agg(F.min(own).alias("own"), *(F.first(c).alias(c) for c in ("n", "keys", "sig", "print")))
     distinct = kept(named, "fingerprints")
-    roots = components(shingle_sets.links(distinct, narrow, words)).withColumnRenamed("node", "fp")
+    close = kept(close_sets(distinct), "close-sets")
+    roots = components(shingle_sets.links(distinct, narrow, words, close)).withColumnRenamed("node", "fp")
     rooted = distinct.select("fp", "own").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     chosen = rooted.groupBy("root").agg(F.min("own").alias("own")).select("own.doc_id", "own.digest")
     chosen = kept(chosen.toDF("c_id", "c_digest"), "chosen")

@@ -259,3 +259,24 @@ def test_one_document_of_each_similar_class_stays(spark):
     rows += [(9000, None), (9001, ""), (9002, " ")]
     kept = simhash.deduplicated(frame(spark, rows)).select("doc_id").collect()
     assert sorted(r.doc_id for r in kept) == [100 * i for i in range(20)] + [9000]
+
+
+def test_deduplication_takes_candidates_of_simhash(spark):
+    """Sets that meet in no band, but whose SimHashes are close, are linked."""
+    from sparkwarden.llm import shingle_sets
+
+    base = [f"w{i}" for i in range(400)]
+    other = [f"v{i}" for i in range(400)]
+    near = [*base[:-1], "end"]
+    texts = [" ".join(words) for words in (base, near, other)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    narrow = docs.withColumn("digest", F.xxhash64("text"))
+    sets = shingle_sets.shingle_sets(narrow, 5).withColumn("keys", F.array().cast("array<long>"))
+    distinct = sets.withColumn("own", F.struct("doc_id", "digest")).localCheckpoint()
+    names = {r.fp: r.doc_id for r in distinct.collect()}
+    close = simhash.close_sets(distinct)
+    pairs = [sorted((names[r.a], names[r.b])) for r in close.collect()]
+    assert pairs == [[0, 1]]
+    found = shingle_sets.links(distinct, narrow, 5, close.localCheckpoint()).collect()
+    assert [sorted((names[r.a], names[r.b])) for r in found] == [[0, 1]]
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == [0, 2]
