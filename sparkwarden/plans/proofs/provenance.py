@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparkwarden.operators.findings import evidence_violations, resolve_source_ids
 from sparkwarden.plans.proofs.generic import table
 from sparkwarden.plans.proofs.registry import query
-from sparkwarden.plans.table_logs import documents
+from sparkwarden.plans.table_logs import documents, spread
 from sparkwarden.sources.ingest import file_violations
 from sparkwarden.sources.manifest import manifest_violations, manifests_from_text
 from sparkwarden.sources.records import resolve
@@ -32,7 +32,7 @@ _MANIFEST = """to_json(named_struct(
  'file_path_leaves_folder'], c_custkey % 7) AS rule FROM customer WHERE c_custkey % 7 > 0""")
 def manifest_checks(spark, sf_dir):
     """Broken manifest rules of many data sets in one job."""
-    texts = table(spark, sf_dir, "customer").selectExpr(f"{_MANIFEST} AS text")
+    texts = spread(table(spark, sf_dir, "customer")).selectExpr(f"{_MANIFEST} AS text")
     return manifest_violations(manifests_from_text(texts))
 
 

@@ -147,3 +147,14 @@ def test_feed_grows_in_files_not_in_rows_and_columns_nobody_reads(spark, monkeyp
     assert rows.where(~later).count() == plain.count()
     assert 0 < rows.where(later).count() < plain.count() // 2
     assert rows.where(~later).select("file").distinct().count() > 6
+
+
+def test_manifest_checks_spread_over_tasks(spark, monkeypatch):
+    from sparkwarden.plans import table_logs
+    from sparkwarden.plans.proofs import provenance
+
+    sf_dir = "/root/testdata/sf0.001"
+    if not Path(sf_dir).exists():
+        pytest.skip("test tables not mounted")
+    monkeypatch.setattr(table_logs, "PER_TASK", 10)
+    assert provenance.manifest_checks(spark, sf_dir).rdd.getNumPartitions() > 4  # cores, of one small file
