@@ -56,6 +56,21 @@ def test_alerts_of_the_other_split_are_left_out(spark):
         run(spark, [], [], "other")
 
 
+def test_findings_are_read_once(spark):
+    scenarios = [case("s"), case("t", "benign", ("c",), split="holdout")]
+    findings = [("r", "1", ["b", "a", "a"]), ("r", "2", ["c", None]), ("r", "3", []), ("bare", "4", []), ("r", "5", ["c"])]
+    result = run(spark, findings, scenarios)
+    got = metrics(result)
+    assert (got.tp, got.fp, got.unexpected, got.evaluated) == (1, 2, 1, 2)
+    bare = metrics(result, "bare")
+    assert (bare.evaluated, bare.fp, bare.unexpected, bare.duplicate_findings) == (0, 0, 0, 0)
+    assert {(r.finding_id, r.exact) for r in result.alerts.collect()} == {("1", True), ("5", True)}
+    counted = spark.range(5).selectExpr("'r' AS rule_id", "cast(id AS string) AS finding_id", "array('a', 'b') AS event_ids")
+    rules = spark.createDataFrame([("r",)], "rule_id string")
+    plan = score(counted, spark.createDataFrame(scenarios, SCENARIO), rules).rules._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 5") == 1
+
+
 def test_input_checks(spark):
     scenarios = spark.createDataFrame(
         [case("s"), case("s", anchors=("c",)), case("u", "other", ("d",)), case("v", anchors=()), case("w", anchors=("a",))], SCENARIO
