@@ -59,20 +59,6 @@ class BallTree:
             ids[order], vectors[order], np.array(nodes, dtype=np.int64), np.array(centers), np.array(radii)
         )
 
-    def pack(self) -> dict[str, bytes]:
-        names = ("ids", "vectors", "nodes", "centers", "radii")
-        return {name: np.ascontiguousarray(getattr(self, name)).tobytes() for name in names}
-
-    @classmethod
-    def unpack(cls, row: dict, dim: int) -> BallTree:
-        return cls(
-            np.frombuffer(row["ids"], np.int64),
-            np.frombuffer(row["vectors"]).reshape(-1, dim) if dim else np.zeros((len(row["ids"]) // 8, 0)),
-            np.frombuffer(row["nodes"], np.int64).reshape(-1, 4),
-            np.frombuffer(row["centers"]).reshape(len(row["radii"]) // 8, dim),
-            np.frombuffer(row["radii"]),
-        )
-
     def search(self, query_ids: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int):
         """(scores, ids) of the k best per query, (LOWEST, max) where fewer; ``least``
         is a score that k candidates are known to reach, and nothing below it is found.

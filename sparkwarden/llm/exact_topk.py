@@ -1,9 +1,11 @@
 """Exact top-k inner-product search with a ball tree per shard.
 
-Candidates are dealt into shards of bounded size and indexed once. Queries travel in
-blocks. First every block searches one shard; the kth scores it finds go with the block
-to all shards, where whatever cannot reach them is cut off before it is scored. The
-best of all shards are merged per query, at most k rows from each.
+Candidates are dealt into groups of a few shards, queries into parts of many blocks. First
+every block of queries searches one shard; the kth scores it finds go with the queries to
+all groups, where whatever cannot reach them is cut off before it is scored, and every shard
+raises them for the next one of its group. The best of all groups are merged per query, at
+most k rows from each. Vectors travel one to a row and trees are built where they are
+searched: a tree in a row has megabytes, and readers and Arrow take thousands of rows at once.
 
 Components become floor(256 * x). Given results: vectors that are null or hold a null,
 NaN or infinite component, and rows without id, take no part. Only vectors of one
@@ -15,7 +17,6 @@ without candidates, and empty tables, give no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -26,12 +27,13 @@ from pyspark.sql import functions as F
 from sparkwarden.llm.ball_tree import LOWEST, BallTree
 from sparkwarden.shared import kept
 
-SHARD = 4096
-BLOCK = 1024
+SHARD = 4096  # candidates of a tree
+BLOCK = 1024  # queries that search one shard first
+SHARDS = 4  # of a group
+BLOCKS = 16  # of a part
 
-TREE = "dim int, shard long, ids binary, vectors binary, nodes binary, centers binary, radii binary"
-QUERIES = "dim int, block long, query_ids binary, queries binary, least binary"
 FOUND = "query long, query_id long, vec_id long, score long"
+NONE = np.iinfo(np.int64).max
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -44,94 +46,79 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return rows.where(finite).withColumn("dim", F.size("embedding"))
 
 
-def _whole(table: pa.Table, dim: int) -> np.ndarray:
-    flat = table.column("embedding").combine_chunks()
-    values = flat.values if isinstance(flat, pa.ListArray) else pa.concat_arrays([c.values for c in flat.chunks])
-    return np.floor(256 * values.to_numpy(zero_copy_only=False)).reshape(len(table), dim)
+def _whole(table: pa.Table) -> np.ndarray:
+    dim = table.column("dim")[0].as_py()
+    values = [chunk.flatten().to_numpy(zero_copy_only=False) for chunk in table.column("embedding").chunks]
+    return np.floor(256 * np.concatenate(values)).reshape(len(table), dim)
 
 
-def _shards(rows: DataFrame, count: int) -> DataFrame:
-    def build(table: pa.Table) -> pa.Table:
-        dim = table.column("dim")[0].as_py()
-        tree = BallTree.build(table.column("vec_id").to_numpy(), _whole(table, dim))
-        row = {"dim": dim, "shard": table.column("shard")[0].as_py(), **tree.pack()}
-        return pa.Table.from_pylist([row], pa.schema([("dim", pa.int32()), ("shard", pa.int64()), *((n, pa.binary()) for n in tree.pack())]))
+def _searched(queries: pa.Table, candidates: pa.Table, k: int, shard: int):
+    """(scores, ids) of the k best candidates of every query, found tree by tree."""
+    query_ids, asked = queries.column("query_id").to_numpy(), _whole(queries)
+    least = queries.column("least").to_numpy()
+    scores = np.full((len(queries), k), LOWEST, dtype=np.int64)
+    ids = np.full((len(queries), k), NONE, dtype=np.int64)
+    for start in range(0, len(candidates), shard):
+        rows = candidates.slice(start, shard)
+        tree = BallTree.build(rows.column("vec_id").to_numpy(), _whole(rows))
+        here = tree.search(query_ids, asked, least, k)
+        both = [np.concatenate(pair, axis=1) for pair in zip((scores, ids), here)]
+        best = np.lexsort((both[1], ~both[0]), axis=1)[:, :k]
+        scores, ids = (np.take_along_axis(of, best, axis=1) for of in both)
+        least = np.maximum(least, scores[:, k - 1])
+    return scores, ids
 
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(count))
-    return rows.withColumn("shard", shard).groupBy("dim", "shard").applyInArrow(build, TREE)
 
+def _dealt(number: str, count: int):
+    return F.pmod(F.xxhash64(number), F.lit(count))
 
-def _blocks(queries: DataFrame, count: int) -> DataFrame:
-    schema = pa.schema([("dim", pa.int32()), ("block", pa.int64())] + [(n, pa.binary()) for n in ("query_ids", "queries", "least")])
 
-    def gather(table: pa.Table) -> pa.Table:
-        table = table.sort_by("vec_id")
-        dim = table.column("dim")[0].as_py()
-        row = {
-            "dim": dim,
-            "block": table.column("block")[0].as_py(),
-            "query_ids": table.column("vec_id").to_numpy().tobytes(),
-            "queries": _whole(table, dim).tobytes(),
-            "least": np.full(len(table), LOWEST, dtype=np.int64).tobytes(),
-        }
-        return pa.Table.from_pylist([row], schema)
+def _each(count: int):
+    return F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<bigint>"))
 
-    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(count))
-    return queries.withColumn("block", block).groupBy("dim", "block").applyInArrow(gather, QUERIES)
 
+def _seeded(asked: DataFrame, rows: DataFrame, shards: int, blocks: int, k: int, shard: int) -> DataFrame:
+    """Queries with the kth scores of one shard each. Blocks take the shards in turn."""
+    queries = asked.withColumn("block", _dealt("query", blocks))
+    taken = rows.withColumn("shard", _dealt("vec_id", shards)).where(F.col("shard") < blocks)
+    taken = taken.withColumn("block", F.explode(F.sequence("shard", F.lit(blocks - 1).cast("long"), F.lit(shards).cast("long"))))
 
-def _searched(row: dict, k: int):
-    """(tree or None, query ids, scores, ids) of a block joined with a shard."""
-    dim = row["dim"]
-    query_ids = np.frombuffer(row["query_ids"], np.int64)
-    queries = np.frombuffer(row["queries"]).reshape(len(query_ids), dim)
-    least = np.frombuffer(row["least"], np.int64)
-    if row["ids"] is None:
-        return query_ids, least, None, None
-    return query_ids, least, *BallTree.unpack(row, dim).search(query_ids, queries, least, k)
+    def seed(queries: pa.Table, candidates: pa.Table) -> pa.Table:
+        least = queries.column("least")
+        if len(queries) and len(candidates):
+            least = pa.array(_searched(queries, candidates, k, shard)[0][:, k - 1])
+        return queries.drop_columns(["least", "block"]).append_column("least", least)
 
+    keys = ("dim", "block")
+    return queries.groupBy(*keys).cogroup(taken.drop("shard").groupBy(*keys)).applyInArrow(seed, asked.schema)
 
-def _seeded(blocks: DataFrame, trees: DataFrame, shards: int, k: int) -> DataFrame:
-    """Blocks with the kth scores of one shard each."""
-    names = ["dim", "block", "query_ids", "queries"]
 
-    def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            least = []
-            for row in batch.to_pylist():
-                _, old, scores, _ = _searched(row, k)
-                least.append((old if scores is None else np.maximum(old, scores[:, k - 1])).tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(least)], [*names, "least"])
+def _found(asked: DataFrame, rows: DataFrame, groups: int, parts: int, k: int, shard: int) -> DataFrame:
+    def search(queries: pa.Table, candidates: pa.Table) -> pa.Table:
+        names = ["query", "query_id", "vec_id", "score"]
+        if not len(queries) or not len(candidates):
+            return pa.table([pa.array([], pa.int64())] * 4, names)
+        scores, ids = _searched(queries, candidates, k, shard)
+        which, place = np.nonzero(ids != NONE)
+        numbers = (queries.column(n).to_numpy()[which] for n in names[:2])
+        return pa.table([pa.array(x) for x in (*numbers, ids[which, place], scores[which, place])], names)
 
-    first = blocks.withColumn("shard", F.pmod("block", F.lit(shards)))
-    return first.join(trees, ["dim", "shard"], "left").mapInArrow(seed, QUERIES)
-
-
-def _found(pairs: DataFrame, k: int) -> DataFrame:
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                query_ids, _, scores, ids = _searched(row, k)
-                which, place = np.nonzero(ids != np.iinfo(np.int64).max)
-                number = (row["block"] << 24) + which
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(number), pa.array(query_ids[which]), pa.array(ids[which, place]), pa.array(scores[which, place])],
-                    ["query", "query_id", "vec_id", "score"],
-                )
-
-    return pairs.mapInArrow(search, FOUND)
+    keys = ("dim", "group", "part")
+    sent = asked.withColumn("part", _dealt("query", parts)).withColumn("group", _each(groups))
+    met = rows.withColumn("group", _dealt("vec_id", groups)).withColumn("part", _each(parts))
+    return sent.groupBy(*keys).cogroup(met.groupBy(*keys)).applyInArrow(search, FOUND)
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of every query. Both tables
     have vec_id and embedding."""
     rows = usable(candidates)
-    asked = usable(queries).dropDuplicates(["vec_id", "embedding"])
+    once = usable(queries).dropDuplicates(["vec_id", "embedding"]).withColumnRenamed("vec_id", "query_id")
+    numbered = once.select(F.monotonically_increasing_id().alias("query"), "*", F.lit(int(LOWEST)).cast("long").alias("least"))
+    asked = kept(numbered, "queries")
     shards, blocks = max(1, ceil(rows.count() / shard)), max(1, ceil(asked.count() / block))
-    trees = kept(_shards(rows, shards), "trees")
-    seeded = kept(_seeded(_blocks(asked, blocks), trees, shards, k), "query-blocks")
-    sent = seeded.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")))
-    found = _found(sent.join(trees, ["dim", "shard"]), k)
-    best = Window.partitionBy("dim_query", "query").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("dim_query", F.col("query_id")).withColumn("rank", F.row_number().over(best))
+    seeded = kept(_seeded(asked, rows, shards, blocks, k, shard), "seeded-queries")
+    found = _found(seeded, rows, ceil(shards / SHARDS), ceil(blocks / BLOCKS), k, shard)
+    best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(best))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

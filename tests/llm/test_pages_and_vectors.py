@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from llm.cases import rows_of
-from sparkwarden.llm import warc
+from sparkwarden.llm import exact_topk, warc
 from sparkwarden.llm.ball_tree import BallTree, inner_products
 from sparkwarden.llm.exact_topk import top_k
+from sparkwarden.shared import kept
 
 BIG = "<p>" + "grün " * 400 + "</p>"
 PAGES = [
@@ -106,6 +107,17 @@ def test_search_equals_brute_force(spark):
     assert top_k(none, none, 5).count() == 0 and top_k(frame, none, 5).count() == 0
 
 
+def test_vectors_travel_one_to_a_row(spark, monkeypatch):
+    stored, source = [], np.random.default_rng(5)
+    monkeypatch.setattr(exact_topk, "kept", lambda frame, purpose: stored.append(frame) or kept(frame, purpose))
+    rows = [(i, source.normal(0, 0.3, 4).tolist()) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = top_k(frame, frame.where("vec_id % 50 = 0"), 5, shard=16, block=1)  # many groups and parts
+    assert rows_of(got) == sorted(brute(rows, 5), key=repr)
+    # A table of trees or blocks, megabytes to a row, is read thousands of rows at once.
+    assert stored and not any(kind == "binary" for frame in stored for _, kind in frame.dtypes)
+
+
 def test_bounds_cut_nodes_without_losing_answers():
     source = np.random.default_rng(6)
     vectors = np.floor(source.normal(0, 50, (2000, 5)))
