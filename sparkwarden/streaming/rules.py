@@ -6,18 +6,14 @@ are free SQL or functions may hold operators that streams refuse, and are for ba
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from sparkwarden.functions.instants import NANOS_PER_SECOND
 from sparkwarden.plans.hunts import SENSITIVE_ACTIONS, horizon_ns
 from sparkwarden.plans.rules import Rule, Sequence, Single
 from sparkwarden.streaming.sequences import (
     STAMP,
-    closed_buckets,
     first_deliveries_within,
     stream_absent_between,
     stream_pairs,
@@ -52,14 +48,18 @@ def stream_matches(rule: Rule, events: DataFrame, delay: str) -> DataFrame:
     return out.dropDuplicates() if body.distinct else out
 
 
-_USE = ("event_uid", "event_ns", "service", "action", "source_ip", "outcome", "event_us")
+_USE = ("event_uid", "event_ns", STAMP, "service", "action", "source_ip", "outcome")
 _COUNTS = ("event_count", "distinct_services", "distinct_actions", "distinct_source_ips", "failures", "sensitive_actions")
 
 
 def stream_key_first_use(events: DataFrame, delay: str, hours: float = 24) -> DataFrame:
     """Every new access key with what it did in its first hours, as the hunt of the same name;
     a lead is emitted when its hours are over for the watermark, and at once where the key,
-    its account or its time is unknown."""
+    its account or its time is unknown.
+
+    Leads meet uses in an interval join and are counted there, all in Spark's own operators.
+    Every lead comes as a use of itself too, which counts for nothing but the lead: so one
+    without uses is found, and of one that came n times, n times n such pairs."""
     rows, horizon = events.withWatermark(STAMP, delay), horizon_ns(hours)
     created = rows.where(
         "service = 'iam.amazonaws.com' AND action = 'CreateAccessKey' AND outcome = 'success'"
@@ -73,43 +73,44 @@ def stream_key_first_use(events: DataFrame, delay: str, hours: float = 24) -> Da
         "event_ns",
         STAMP,
     )
-    used = rows.where("credential_id IS NOT NULL").select(
-        "account_id", F.col("credential_id").alias("key_id"), F.unix_micros(STAMP).alias("event_us"), STAMP,
-        *[c for c in _USE if c != "event_us"],
-    )
     names = ["creation_uid", "creation_event_id", "account_id", "created_us", "creator", "issued_key_id"]
-    texts = StructType([f for f in created.schema.fields if f.name in names])
-    texts = texts.add("observation", "string").add("first_use_us", "long").add("last_use_us", "long")
-    result = StructType([*texts.fields, *(StructField(c, LongType()) for c in _COUNTS)])
     unknown = F.col("issued_key_id").isNull() | F.col(STAMP).isNull() | F.col("account_id").isNull()
-
-    def close(leads: list[Row], uses: Iterator[Row]) -> Iterator[Row]:
-        found = [([None, None, 0, 0, 0], set(), set(), set()) for _ in leads]
-        for use in uses:
-            for lead, (told, services, actions, addresses) in zip(leads, found):
-                since = use["event_ns"] - lead["event_ns"]
-                if not 0 <= since <= horizon or use["event_uid"] == lead["creation_uid"]:
-                    continue
-                us = use["event_us"]
-                told[0] = us if told[0] is None else min(told[0], us)
-                told[1] = us if told[1] is None else max(told[1], us)
-                told[2] += 1
-                told[3] += use["outcome"] == "failure"
-                told[4] += use["action"] in SENSITIVE_ACTIONS
-                services.add(use["service"])
-                actions.add(use["action"])
-                addresses.add(use["source_ip"])
-        for lead, (told, *sets) in zip(leads, found):
-            kinds = [len(s - {None}) for s in sets]
-            seen = "use_observed" if told[2] else "no_use_observed"
-            yield Row(*result.names)(*[lead[n] for n in names], seen, told[0], told[1], told[2], *kinds, told[3], told[4])
-
-    keys = {"account_id": "account_id", "issued_key_id": "key_id"}
-    known = closed_buckets(created.where(~unknown), used, keys, horizon, close, result)
+    known = created.where(~unknown)
+    used = rows.where("credential_id IS NOT NULL").select(
+        "account_id", F.col("credential_id").alias("issued_key_id"), F.lit(False).alias("itself"), *_USE
+    )
+    itself = known.select(
+        "account_id", "issued_key_id", F.lit(True).alias("itself"), F.col("creation_uid").alias("event_uid"),
+        "event_ns", STAMP, *[F.lit(None).cast("string").alias(c) for c in _USE[3:]],
+    )
+    pairs = stream_pairs(
+        known, used.unionByName(itself), ["account_id", "issued_key_id"], horizon,
+        include_start=True, prefixes=("lead_", "use_"),
+    )
+    # A lead is no use of its own key, and no other lead counts as one.
+    met = pairs.where((F.col("lead_creation_uid") == F.col("use_event_uid")) == F.col("use_itself"))
+    use, us = ~F.col("use_itself"), F.unix_micros(F.col(f"use_{STAMP}"))
+    carried = [n if n in ("account_id", "issued_key_id") else f"lead_{n}" for n in names]
+    counted = met.groupBy(f"lead_{STAMP}", *carried).agg(
+        F.min(F.when(use, us)).alias("first_use_us"),
+        F.max(F.when(use, us)).alias("last_use_us"),
+        F.sqrt(F.count_if("use_itself")).cast("long").alias("copies"),
+        F.count_if(use).alias("event_count"),
+        *[F.size(F.collect_set(f"use_{c}")).cast("long").alias(f"distinct_{c}s") for c in ("service", "action", "source_ip")],
+        F.count_if(F.col("use_outcome") == "failure").alias("failures"),
+        F.count_if(F.col("use_action").isin(*SENSITIVE_ACTIONS)).alias("sensitive_actions"),
+    )
+    copy = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))
+    once = {c: F.call_function("div", F.col(c), F.col("copies")) for c in ("event_count", "failures", "sensitive_actions")}
+    seen = F.when(F.col("event_count") > 0, "use_observed").otherwise("no_use_observed")
+    leads = counted.withColumns(once).withColumn("copy", copy).select(
+        *[F.col(c).alias(n) for c, n in zip(carried, names)],
+        seen.alias("observation"), "first_use_us", "last_use_us", *_COUNTS,
+    )
     zeros = [F.lit(0).cast("long").alias(c) for c in _COUNTS]
     none = [F.lit(None).cast("long").alias(c) for c in ("first_use_us", "last_use_us")]
     open_leads = created.where(unknown).select(*names, F.lit("unresolvable").alias("observation"), *none, *zeros)
-    return known.unionByName(open_leads)
+    return leads.unionByName(open_leads)
 
 
 def stream_first_deliveries(events: DataFrame, delay: str) -> DataFrame:

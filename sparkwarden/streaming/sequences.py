@@ -45,10 +45,12 @@ def stream_pairs(
     keys: Sequence[str],
     within_ns: int,
     *,
+    include_start: bool = False,
     prefixes: tuple[str, str] = ("first_", "second_"),
 ) -> DataFrame:
-    """As ``sequence_pairs``: equal keys and ``first < second <= first + within``. Both sides
-    carry a watermark; a row is kept until no partner of it can come any more."""
+    """As ``sequence_pairs``: equal keys and ``first < second <= first + within``, with
+    ``include_start`` the lower bound too. Both sides carry a watermark; a row is kept until
+    no partner of it can come any more."""
     a, b = prefixes
     left = first.where(F.col(TIME).isNotNull()).select(
         *[F.col(k) for k in keys], *[F.col(c).alias(a + c) for c in first.columns if c not in keys]
@@ -58,7 +60,7 @@ def stream_pairs(
         *[F.col(c).alias(b + c) for c in second.columns if c not in keys],
     )
     start, end = F.col(a + TIME), F.col(b + TIME)
-    bounds = (end > start) & (end <= start + F.lit(within_ns))
+    bounds = (end >= start if include_start else end > start) & (end <= start + F.lit(within_ns))
     # The same bounds on the watermarked columns, a little wider, let Spark free its state.
     slack = F.expr("INTERVAL '1' SECOND")
     state = (F.col(b + STAMP) >= F.col(a + STAMP) - slack) & (F.col(b + STAMP) <= F.col(a + STAMP) + _seconds(within_ns))

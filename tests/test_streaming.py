@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkwarden.operators.sequence import absent_between, first_after, sequence_pairs
+from sparkwarden.plans.hunts import aws_key_first_use
 from sparkwarden.shared import new_folder
 from sparkwarden.streaming.feeds import caught_up, event_feed, started
+from sparkwarden.streaming.rules import stream_key_first_use
 from sparkwarden.streaming.sequences import (
     first_deliveries_within,
     stream_absent_between,
@@ -149,6 +151,55 @@ def test_feed_grows_in_files_not_in_rows_and_columns_nobody_reads(spark, monkeyp
     assert rows.where(~later).select("file").distinct().count() > 6
 
 
+def test_first_use_is_counted_by_sparks_own_operators(spark):
+    source, path = random.Random(11), new_folder(spark, "feed")
+    schema = (
+        "event_uid string, source_event_id string, account_id string, event_time timestamp, event_ns long, service string,"
+        " action string, outcome string, actor_arn string, issued_key string, credential_id string, source_ip string"
+    )
+
+    def event(number, seconds, key, issued=None):
+        uid, kind, account, _, at, ns = row(number, "CreateAccessKey" if issued else "StopLogging", source.choice([*"xxxy", None]), "", seconds)
+        outcome = "success" if issued else source.choice(["failure", "success", None])
+        service = "iam.amazonaws.com" if issued else source.choice(["s", None])
+        return uid, f"id-{uid}", account, at, ns, service, kind, outcome, "arn", issued, key, source.choice(["a", "b", None])
+
+    keys = ["k1", "k2", "k3", None]
+    leads = [event(i, source.choice([None, *range(0, 9000)]), source.choice(keys), source.choice(["k1", "k2", "k9"])) for i in range(60)]
+    uses = [event(100 + i, source.randint(0, 9000), source.choice(keys)) for i in range(400)]
+    after = [event(900 + i, 200_000 + 50_000 * i, "k1") for i in range(3)]
+    for part in (leads[:30] + uses[200:], leads[30:] + uses[:200], after):
+        spark.createDataFrame(part, schema).repartition(2).write.mode("append").parquet(path)
+    stream = event_feed(spark, path, spark.createDataFrame([], schema).schema, files=2)
+    found = stream_key_first_use(stream, "4 hours", 1.0)
+    assert "TransformWithState" not in found._jdf.queryExecution().analyzed().toString()
+    got = caught_up(found, "first-use")
+    batch = aws_key_first_use(spark.createDataFrame(leads + uses + after, schema), 1.0).leads
+    micros = {f"{ours}_us": F.unix_micros(theirs) for ours, theirs in (("created", "created_at"), ("first_use", "first_use"), ("last_use", "last_use"))}
+    want = batch.withColumns(micros).select(*got.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert {r.observation for r in got.collect()} == {"use_observed", "no_use_observed", "unresolvable"}
+
+
+def test_a_lead_that_came_twice_is_two_leads(spark):
+    path = new_folder(spark, "feed")
+    schema = (
+        "event_uid string, source_event_id string, account_id string, event_time timestamp, event_ns long, service string,"
+        " action string, outcome string, actor_arn string, issued_key string, credential_id string, source_ip string"
+    )
+    at = lambda s: (START + timedelta(seconds=s), int(START.timestamp() + s) * 10**9)
+    lead = ("l", "l", "x", *at(0), "iam.amazonaws.com", "CreateAccessKey", "success", "arn", "k", "k", "a")
+    alone = ("m", "m", "x", *at(1), "iam.amazonaws.com", "CreateAccessKey", "success", "arn", "n", None, "a")
+    use = ("u", "u", "x", *at(5), "s", "StopLogging", "failure", "arn", None, "k", "a")
+    after = [(f"z{i}", None, "x", *at(100_000 * i), "s", "t", None, "arn", None, "k", None) for i in (1, 2, 3)]
+    for part in ([lead] * 3 + [alone] * 2 + [use], after):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = event_feed(spark, path, spark.createDataFrame([], schema).schema, files=1)
+    got = caught_up(stream_key_first_use(stream, "1 hour", 1.0), "first-use-twice").collect()
+    counted = sorted((r.creation_uid, r.event_count, r.failures, r.sensitive_actions, r.distinct_services) for r in got)
+    assert counted == [("l", 1, 1, 1, 1)] * 3 + [("m", 0, 0, 0, 0)] * 2
+
+
 def test_manifest_checks_spread_over_tasks(spark, monkeypatch):
     from sparkwarden.plans import table_logs
     from sparkwarden.plans.proofs import provenance
