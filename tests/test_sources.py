@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 from samples import attach, audit, azure, bucket_policy, credential, gcp, normalize, stamp, trail
 
+from sparkwarden.functions import json_access
+from sparkwarden.operators import quality
 from sparkwarden.sources.catalog import SOURCES, faults, format_table, source_of
 from sparkwarden.sources.normalize import Scope
 from sparkwarden.sources.records import numbered_lines, parse_documents, parse_lines
@@ -156,3 +158,41 @@ def test_source_table(spark):
 def test_bucket_policy_lifts_its_deltas(spark):
     got = normalize(spark, "gcp.audit", [bucket_policy([{"action": "ADD"}])])
     assert got.select(F.to_json("binding_deltas")).first()[0] == '[{"action":"ADD"}]'
+
+
+def test_members_of_their_own_give_what_paths_give(spark):
+    texts = [
+        '{"a":"x","b":{"c":"y","d":{"e":7},"@f":true},"g":[1],"h":null}', '{"a":1,"b":"text","g":{}}', '{"b":{"c":null,"d":[]}}',
+        '{"b":{"c":""},"z":1}', "{}", "[1]", '"s"', "null", None,
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    rows = rows.withColumn("doc", F.parse_json("text"))
+    members = json_access.Members("doc", ("a", "b", "g", "h"), {"b": ("c", "d")})
+    paths = ["$.a", "$.b", "$.b.c", "$.b.d", "$.b.d.e", '$.b["@f"]', '$.b["c"]', "$.g", "$.g[0]", "$.h", "$.z", "$.ab", "$"]
+    getters = ("text_at", "loose_text", "is_object", "is_array", "is_empty_object", "integer_at", "boolean_at", "value_at", "object_at", "type_at")
+
+    def told(document):
+        found = [getattr(json_access, g)(document, p) for g in getters for p in paths]
+        return [F.to_json(c) if i // len(paths) in (7, 8) else c.cast("string") for i, c in enumerate(found)]
+
+    plain = rows.select("id", F.array(*told(F.col("doc"))).alias("told")).collect()
+    apart = members.opened(rows).select("id", F.array(*told(members)).alias("told")).collect()
+    assert sorted(plain) == sorted(apart) and len(apart) == len(texts)
+
+
+def test_a_record_is_not_searched_again_for_every_field(spark):
+    for job in SOURCES:
+        rows = spark.createDataFrame([("{}",)], "text string").select(F.parse_json("text").alias("record"))
+        plan = job.normalize(rows)._jdf.queryExecution().analyzed().toString()
+        assert plan.count("try_variant_get(record#") <= 3, job.source
+
+
+def test_shapes_are_told_without_walking_documents(spark):
+    texts = ['{"a":[1]}', "[1]", "[]", "{}", '"s"', "7", "null", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(F.parse_json("text").alias("doc"))
+    for kind in ("OBJECT", "ARRAY"):
+        rules = quality.event_rules()
+        name = next(c for c, k in quality.DOCUMENT_SHAPES.items() if k == kind)
+        assert "schema_of_variant" not in str(rules[f"shape:{name}"])
+        told = rows.select(F.col("doc").alias(name)).select(rules[f"shape:{name}"], F.schema_of_variant(name).startswith(kind))
+        assert [r[0] for r in told.collect()] == [not r[1] for r in told.collect()]
